@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from keysift.llm import chat, decontaminate, line_dedup, packing, quality, simhash, url_filter, warc
+from keysift.llm import chat, decontaminate, line_dedup, lm_score, packing, quality, repeats, simhash, url_filter, warc
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_warc": warc.op2_warc,
+    "op3_suffix_dedup": repeats.op3_suffix_dedup,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_simhash": simhash.op5_simhash,
     "op6_quality_rules": quality.op6_quality_rules,
