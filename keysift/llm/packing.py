@@ -36,7 +36,7 @@ from keysift.llm.common import shared_dir, written
 CAPACITY = 4096
 END = 1
 NODES = 20_000
-CACHE = 400_000
+CACHE = 600_000
 _BLANK = re.compile(r"[ \n\t\r]+")
 
 #: A plan: bins as (number of equal bins, lengths in each).
@@ -181,27 +181,26 @@ class Places:
         return self.sequence[at] + rank - self.rank[at], self.offset[at]
 
 
+class Words(dict):
+    """Ids by word as bytes; a word that isn't held is encoded when asked for. Full, it starts anew."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """From a text to its ids as little-endian unsigned 32-bit numbers."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        parts = _BLANK.split(text)
-        new = list({w for w in parts if w not in known})
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(parts))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
-
-    return encode
+    known = Words(path)
+    return lambda text: b"".join(map(known.__getitem__, _BLANK.split(text)))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
