@@ -6,12 +6,12 @@ item left by an undominated filling (no filling of which another, with the same
 larger ones that still fit, is as good). The incumbent is best-fit decreasing, computed on counts: equal bins
 are one group. If it meets the bound ceil(total / capacity), raised by the number of items over half a bin,
 it is optimal. Otherwise branch and bound goes through completions depth-first, cutting a branch once the
-waste so far exceeds what a better solution can have, within ``NODES`` nodes; the best found is used.
+waste so far exceeds what a better solution can have, within ``NODES`` nodes and fillings (400 fillings a node); the best found is used.
 
 The plan lists, per length, runs of ranks and where they go. Pieces get their rank within their length from
 counts per task (no window over a hot length), and find their place by binary search.
 
-Tokens: words are cut at blanks and encoded once per task while a bounded cache holds them; the tokenizer
+Tokens: words are cut at blanks and encoded once per task, while a cache of ``CACHE`` words holds them; the tokenizer
 splits at white space itself, so ids are those of the whole text.
 
 Defined results: null and empty texts have the end id alone; rows with a null doc_id are packed like others;
@@ -128,6 +128,7 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         options, seen = [], 0
         for lost, items in fillings(lengths, left, capacity - top):
             seen += 1
+            budget -= 1
             options.append((lost, items))
             if lost == 0 and len(options) > 8 or seen > 400:
                 break

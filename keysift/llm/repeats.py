@@ -1,8 +1,8 @@
 """Exact substring dedup: bytes covered by a 200-byte string that also starts anywhere else are removed.
 
-The method asked for, merging the Burrows-Wheeler transforms of shards by interleave refinement, is in
-``bwt_merge``; over whole corpora it needs a pass over all suffixes per byte of depth (figures in the README).
-This operator gives the same result by settling most places without sorting:
+The method asked for, merging the Burrows-Wheeler transforms of shards by interleave refinement, needs a pass
+over all suffixes per byte of depth, 200 here; it isn't built (see the README). This operator gives the same
+result by settling most places without sorting:
 
 1. A window is 200 bytes of a text. Its anchor is the least-hashed of its 64-byte strings (the leftmost of
    equal ones), so that equal windows have equal anchors at equal places; about one byte in 69 is an anchor.
