@@ -92,14 +92,16 @@ class EliasFano:
         end = self._select(high, True) - high
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), True) - high + 1, 0)
         todo = np.flatnonzero(start < end)
-        at = start[todo]
-        while len(todo):
-            here = read_bits(self.low, at, self.low_bits)
-            hit = here == low[todo]
-            out[todo[hit]] = at[hit]
-            at = at + 1
-            on = (here < low[todo]) & (at < end[todo])
-            todo, at = todo[on], at[on]
+        first, last, wanted = start[todo], end[todo], low[todo]
+        # Lower bound by halving: a hot context may have most of its words in one high part.
+        while len(open_ := np.flatnonzero(first < last)):
+            middle = (first[open_] + last[open_]) >> 1
+            less = read_bits(self.low, middle, self.low_bits) < wanted[open_]
+            first[open_] = np.where(less, middle + 1, first[open_])
+            last[open_] = np.where(less, last[open_], middle)
+        inside = np.flatnonzero(first < end[todo])
+        hit = inside[read_bits(self.low, first[inside], self.low_bits) == wanted[inside]]
+        out[todo[hit]] = first[hit]
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
