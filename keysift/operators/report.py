@@ -105,11 +105,12 @@ def junit_suites(findings: DataFrame) -> DataFrame:
 
 
 def junit(findings: DataFrame) -> str:
+    from xml.sax.saxutils import escape
     from xml.sax.saxutils import quoteattr as q
 
     out = []
     for s in junit_suites(findings).orderBy("path").toLocalIterator():
-        cases = "".join(f"<testcase name={q(c['rule_id'])} classname={q(s['path'])}><failure message={q(c['description'])} type={q(c['severity'])}>line {c['line']}</failure></testcase>" for c in s["cases"])
+        cases = "".join(f"<testcase name={q(c['rule_id'])} classname={q(s['path'])}><failure message={q(c['description'])} type={q(c['severity'])}>line {c['line']}: {escape(c['redacted'])}</failure></testcase>" for c in s["cases"])
         out.append(f'<testsuite name={q(s["path"])} tests="{s["failures"]}" failures="{s["failures"]}">{cases}</testsuite>')
     return "<testsuites>" + ("".join(out) or f'<testsuite name="{TOOL}" tests="1" failures="0"><testcase name="no findings" classname="{TOOL}"/></testsuite>') + "</testsuites>"
 

@@ -60,6 +60,7 @@ def tree(spark: SparkSession, root: str, max_size: int = MAX_SIZE, hidden: bool
     """``path`` (below ``root``), ``content`` of the files of a tree. Sizes are filtered before contents are read.
 
     ``paths``: only these, without the hidden and ignore filters. ``skip``: a predicate on ``path``.
+    Spark's own listing leaves out files whose names begin with a dot or underscore, ``.env`` among them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.regexp_replace(F.regexp_replace("path", r"\A\w+:/+", "/"), r"\A" + re.escape(str(PurePosixPath("/" + root.split(":", 1)[-1].lstrip("/")))) + "/", "")
