@@ -219,16 +219,6 @@ def simhash_components(docs: DataFrame, folder: str, doc_id: str = "doc_id", tex
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, folder: str) -> DataFrame:
-    """The documents without near-copies: of each component the one with the smallest id stays.
-
-    Rows without an id stay; of rows that repeat a component's smallest id all stay.
-    """
-    found = simhash_components(docs.select("doc_id", "text"), folder)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return simhash_components(docs, shared_dir(spark))

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keysift.llm import chat, common, decontaminate, line_dedup, lm_score, packing, quality, repeats, simhash, url_filter, warc
+from keysift.llm import chat, common, decontaminate, line_dedup, lm_score, near_copies, packing, quality, repeats, simhash, url_filter, warc
 from keysift.llm.elias_fano import EliasFano
 
 SYL = "an the of er re tion ing con ment est ar li qua for ist und ver".split()
@@ -201,6 +201,32 @@ def test_anchors_meet_every_pair(spark):
     assert {frozenset((r["a"], r["b"])) for r in links} == want
 
 
+def test_near_copies_match_all_pairs(spark, docs, corpus, folder):
+    rng = random.Random(6)
+    base = [[word(rng) for _ in range(120)] for _ in range(12)]
+    edited = []
+    for k, w in enumerate(base):
+        for n in range(3):  # one to three words changed: Jaccard about 0.92 to 0.77
+            v = list(w)
+            for at in rng.sample(range(5, 115), n + 1):
+                v[at] = "changed"
+            edited.append((1000 + 10 * k + n, " ".join(v)))
+        edited.append((900 + k, " ".join(w)))
+    rows = [*corpus, *edited, (None, edited[0][1].upper()), (1000, edited[0][1])]
+    cut = lambda t: frozenset(tuple(w[i : i + 5]) for w in [words(low(t))] for i in range(max(1, len(w) - 4)))
+    sets, s = [cut(t) for _, t in rows], Sets()
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    place = {k: n for n, k in enumerate(order)}
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            s.link(place[a], place[b])
+    want = sorted(rows[k][0] for k in order if s.find(place[k]) == place[k])
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string").repartition(3)
+    got = near_copies.drop_near_copies(df, folder)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == want
+    assert near_copies.drop_near_copies(df.where("false"), f"{folder}/none").count() == 0
+
+
 def test_quality_numbers(docs, corpus):
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     for i, t in corpus:
