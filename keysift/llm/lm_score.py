@@ -2,7 +2,7 @@
 
 Model: interpolated absolute discounting over trigrams, bigrams and the add-0.5 unigrams of the base score.
 ``p(c|a,b) = A(abc) + bow(ab) p(c|b)`` with ``A = (n - D) / n(context)`` and ``bow = 1 - sum A``, so that each
-distribution sums to one. Trigrams seen once are counted but not stored; their mass is in ``bow``.
+distribution sums to one. Every trigram of the training texts is stored, those seen once too.
 
 Counting: (1) word counts by digest; the sorted digests in pieces give each word its number. (2) each task
 turns its texts into numbers, sums its n-grams, and sends them as compressed blocks to shards of a bounded
@@ -34,7 +34,6 @@ from keysift.llm.common import lower_ascii, open_fs, put, shared_dir, words, wri
 from keysift.llm.elias_fano import EliasFano
 
 D = 0.75
-STORE_FROM = 2
 SHARD = 2_000_000
 PIECE = 1_000_000
 CHUNK = 400_000
@@ -224,7 +223,7 @@ def trie(key: np.ndarray, third: np.ndarray, n: np.ndarray, vocabulary: Vocabula
     alpha2 = (pair_n - D) / total[parent]
     owner = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(key))))
     followed = np.bincount(owner, np.where(third != NONE, n, 0), len(pair))
-    kept = (third != NONE) & (n >= STORE_FROM)
+    kept = third != NONE
     alpha3 = (n[kept] - D) / followed[owner[kept]]
     bow2 = 1 - np.bincount(owner[kept], alpha3, len(pair))
     out["triples"] = EliasFano.build(owner[kept] * width + third[kept], max(1, len(pair) * width))

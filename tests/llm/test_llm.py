@@ -114,6 +114,32 @@ def test_lm_score_is_a_model(spark, docs, corpus, folder):
     assert lm_score.score(empty, folder, *lm_score.train(docs, f"{folder}/f")).count() == 0
 
 
+def test_lm_scores_match_brute_force(spark, docs, corpus, folder):
+    train = [[*words(low(t)), "\n"] for i, t in corpus if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two, three = (Counter(tuple(t[k : k + n]) for t in train for k in range(len(t) - n + 1)) for n in (1, 2, 3))
+    follow = {n: Counter(g[:-1] for g in c) for n, c in ((2, two), (3, three))}
+    followed = Counter()
+    for g, n in three.items():
+        followed[g[:-1]] += n
+    total, size, d = sum(one.values()), len(one), lm_score.D
+
+    def p(g):
+        if len(g) == 1:
+            return (one[g] + 0.5) / (total + 0.5 * (size + 1))
+        seen, context = (two, one[g[:1]]) if len(g) == 2 else (three, followed[g[:2]])
+        kinds = follow[len(g)][g[:-1]]
+        return (max(seen[g] - d, 0) + d * kinds * p(g[1:])) / context if kinds else p(g[1:])
+
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, folder, *lm_score.train(docs.where(~lm_score.held_out(F.col("doc_id"))), folder)).collect()}
+    once = 0
+    for i, t in corpus:
+        w = [*words(low(t)), "\n"]
+        want = sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w)))
+        assert got[i] == pytest.approx(want, abs=1e-3 * len(w)), i
+        once += zlib.crc32(str(i).encode()) % 5 == 1 and any(three[tuple(w[k : k + 3])] == 1 for k in range(len(w) - 2))
+    assert once  # held-out texts with trigrams that training has just once
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_warc_round_trip_rejects_magic_in_payloads(spark, folder, compress):
     fake = warc.record(99, "http://x", b"trap", "A" * 32, 4, None).decode()
