@@ -234,11 +234,17 @@ def history_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_in_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planted texts as a history: even ones are in the head."""
+    """All conversation texts as blobs of their history, with the planted texts as commits of their own; even ones are in the head."""
+    blob = F.sha2("text", 256)
+    turns, sites = _history(spark, sf_dir)
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = planted(spark).select("path", "content", F.sha2(F.concat("path", F.lit("\0"), "content"), 256).alias("blob_hash"))
-    commits = rows.select(F.col("blob_hash").alias("hash"), F.crc32("path").alias("committed"), F.lit("A").alias("author"), F.lit("a@b").alias("author_email"), F.timestamp_seconds(F.crc32("path")).alias("authored"))
-    head = rows.where("crc32(path) % 2 = 0").select("path", "blob_hash")
-    return history.scan(commits, rows.select(F.col("blob_hash").alias("commit"), "path", "blob_hash"), rows.select("blob_hash", "content"), head).drop("engines", "tags", "notes")
+    commits = turns.distinct().select("hash", F.col("committed").cast("long").alias("committed")).unionByName(rows.select(F.col("blob_hash").alias("hash"), F.crc32("path").alias("committed")))
+    commits = commits.select("*", F.lit("A").alias("author"), F.lit("a@b").alias("author_email"), F.timestamp_seconds("committed").alias("authored"))
+    changes = sites.unionByName(rows.select(F.col("blob_hash").alias("commit"), "path", "blob_hash"))
+    blobs = c.select(blob.alias("blob_hash"), F.col("text").alias("content")).unionByName(rows.select("blob_hash", "content")).dropDuplicates(["blob_hash"])
+    head = c.where("crc32(cast(conv_id as string)) % 2 = 0").select(F.concat_ws("/", "conv_id", "turn", "role").alias("path"), blob.alias("blob_hash")).unionByName(rows.where("crc32(path) % 2 = 0").select("path", "blob_hash")).dropDuplicates(["blob_hash"])
+    return history.scan(commits, changes, blobs, head).drop("engines", "tags", "notes")
 
 
 def summary_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,20 @@ def test_history_marks_what_is_still_there(spark):
     assert [r["hash"] for r in history.visited(commits, most=1).collect()] == ["c2"] and [r["hash"] for r in history.visited(commits, stop="c1").collect()] == ["c2"]
 
 
+def test_history_query_scans_the_conversations(spark, tmp_path):
+    from keysift import queries
+
+    keys = ["AKIA" + w for w in ("QWERTYUIOPLKJHGF", "ZXCVBNMASDFGHJKL", "MNBVCXZLKJHGFDSA")]
+    even, odd = ([k for k in range(20) if zlib.crc32(str(k).encode()) % 2 == n] for n in (0, 1))
+    rows = [(odd[0], 3, "user", f"x {keys[0]}"), (odd[1], 2, "user", f"x {keys[0]}"), (even[0], 4, "tool", f"x {keys[0]}"), (odd[0], 5, "tool", f"y {keys[1]}"), (odd[2], 1, "user", None), (odd[2], 2, "user", "z" * (1 << 20) + f"\n{keys[2]}"), (even[1], 1, "user", f"\0{keys[2]}")]
+    rows += [(100 + k, 1, "user", "hot") for k in range(50)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.history_in_head(spark, str(tmp_path)).collect()
+    mine = {(r["secret"], r["commit"], r["path"], r["in_head"]) for r in got if r["secret"] in keys}
+    assert mine == {(keys[0], f"{odd[1]}-2", "user", True), (keys[1], f"{odd[0]}-5", "tool", False)}
+    assert any(r["secret"] not in keys for r in got)
+
+
 def test_reports_redact(spark):
     a, b = ("AKIA" + w for w in ("QWERTYUIOPLKJHGF", "ZXCVBNMASDFGHJKL"))
     found = detect.detect(spark.createDataFrame([("a <b>.go", f"{a} {b}")], "path string, content string")).cache()
