@@ -82,17 +82,25 @@ def _let_digests(words: Column) -> Column:
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """Per document its numbers, ``base_failed``, each rule, the host's shrunk rate and ``kept``."""
-    rows = text_numbers(docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text")))
+    rows = _failures(docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text")))
+    return rows.join(_hosts(rows), F.expr("host <=> of_host")).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("of_host")
+
+
+def _failures(docs: DataFrame) -> DataFrame:
+    """Adds the numbers of ``text``, each rule and ``base_failed``; drops the text."""
+    rows = text_numbers(docs)
     rules = {
         "few_words": F.col("n_words") < MIN_WORDS,
         "repeats": 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"),
         "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("word_chars"),
         "dup_lines": 100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines"),
     }
-    rows = rows.withColumns(rules).withColumn("base_failed", F.col("few_words") | F.col("repeats"))
+    return rows.withColumns(rules).withColumn("base_failed", F.col("few_words") | F.col("repeats"))
+
+
+def _hosts(rows: DataFrame) -> DataFrame:
     failed = F.greatest(*[F.col(r).cast("int") for r in RULES])
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(failed).alias("failed"), *[F.sum(F.col(r).cast("int")).alias(f"host_{r}") for r in RULES])
-    return rows.join(host_rates(hosts), F.expr("host <=> of_host")).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("of_host")
+    return host_rates(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(failed).alias("failed"), *[F.sum(F.col(r).cast("int")).alias(f"host_{r}") for r in RULES]))
 
 
 def host_rates(hosts: DataFrame) -> DataFrame:
@@ -111,10 +119,11 @@ def host_rates(hosts: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that are kept, with their columns. Rows are matched by id; those that share one id share its verdict:
-    one failing row drops them."""
-    bad = judge(docs, host).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(docs.columns)
+    """The documents that are kept, with their columns. Each row has its own verdict and is carried along with it, so
+    that null and repeated ids don't matter."""
+    rows = _failures(docs.select(F.struct(*docs.columns).alias("__row"), F.col(host).alias("host"), "text"))
+    bad = _hosts(_failures(docs.select(F.col(host).alias("host"), "text"))).where("host_failed").select("of_host")
+    return rows.where(~F.col("base_failed")).join(bad, F.expr("host <=> of_host"), "left_anti").select("__row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,6 +273,16 @@ def test_bad_hosts_fall_and_good_ones_stay(spark):
     assert got[1] and not got[0] and not got[1000] and got[5000]
 
 
+def test_every_row_is_kept_on_its_own_verdict(spark):
+    fine = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, fine, "good"), (None, "x", "good"), (7, fine, "good"), (7, "x", "good"), (None, fine, None)] + [(k, fine, "good") for k in range(100, 140)] + [(1000 + k, fine if k % 25 == 0 else "x y", "bad") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.keep_good(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in got.collect()), key=str) == sorted((r for r in rows if r[1] == fine and r[2] != "bad"), key=str)
+    assert quality.keep_good(df.where("false")).count() == 0
+
+
 def test_line_dedup_matches_all_pairs(spark, docs, corpus, folder):
     cut = lambda t: frozenset(t[k : k + 10] for k in range(max(1, len(t) - 9)))
     ls = [(i, k, x) for i, t in corpus for k, x in enumerate((t or "").split("\n")) if words(x)]
