@@ -1,20 +1,25 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only: one line stays of each component of similar lines.
 
-1. Equal lines are one class (by MD5), found with partial sums of small rows; its first line stands for it.
-2. The texts of class heads alone, spread by (doc_id, line_no) so that no key is hot, are cut into shingles of
-   ``SHINGLE`` UTF-16 units. One-permutation hashing: each shingle's 64-bit hash falls in one of ``BINS`` bins,
-   whose minimum is kept; an empty bin takes the next full one's.
-3. ``BANDS`` bands of ``ROWS`` bins: a pair at similarity 0.8 shares a band with probability above 0.998.
-4. In each bucket every line is compared with the bucket's first. Where that leaves a bucket in several
-   components, every line outside its largest component is compared with all lines of other components
-   there. Two lines left uncompared are thus in one component already: no link that matters is lost, and
-   no bucket is expanded into all of its pairs.
-5. Exact Jaccard over the shingle sets, then distributed union-find; the smallest (doc_id, line_no) stays.
-
-Lines without a word are never touched. Lines shorter than a shingle are one shingle.
-
-Defined results: null texts have no lines and stay null; documents with a null doc_id are left as they are;
-rows repeating a doc_id count as one document's lines, and lose the same lines; an empty table gives no row.
+1. Signature of a line, made where it is read: the 64-bit hashes of the character shingles (``SHINGLE`` characters)
+   that start at a word. Where words are rare (under one start in ``SPARSE`` characters) all shingles make a second
+   signature. A band is the ``ROWS`` next hashes from one of ``BANDS`` fixed points of the hash ring on: lines share
+   it if their joint next hashes are shared, at Jaccard J with probability J^ROWS. A pair at 0.8 shares one of the
+   bands with probability above 0.996.
+2. Equal lines are one class (by MD5); its first line stands for it. Digests and bands are shuffled, never the text.
+3. In each bucket every line is compared with the bucket's first. Where that leaves a bucket in several components,
+   every line outside its largest component is compared with all lines of other components there. Two lines left
+   uncompared are thus in one component already: no link that matters is lost.
+4. Before texts are fetched, each pair passes an exact bound: a line of n distinct shingles has a parity bitmap of
+   64 * ``WORDS`` bits, and the bits in which two bitmaps differ are at most the shingles that they don't share.
+   Jaccard J asks for at most (1 - J) / (1 + J) of the sum of both n. The bound drops no pair that is similar.
+5. Exact Jaccard over all shingles, then distributed union-find; the smallest (doc_id, line_no) stays.
+
+Lines without a word are never touched. A line shorter than a shingle is one shingle.
+
+Defined results: null texts have no lines and stay null; a null doc_id sorts first and is a document like another; rows
+that share a doc_id with different texts are documents of their own, rows equal in both are one document and lose the
+same lines; ties of doc_id and line_no go by a digest of the text; lines of any length are compared whole; an empty
+table gives no row; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,89 +30,154 @@ from pyspark.sql import functions as F
 from keysift.llm.common import components, shared_dir, written
 
 SHINGLE = 10
-BINS, BANDS, ROWS = 30, 10, 3
+BANDS, ROWS = 8, 3
+SPARSE = 16
+WORDS = 16
 SIMILAR = 0.8
-#: Keys of at most this many lines (24 bytes each) are broadcast; more are shuffled.
+#: Keys of at most this many lines (about 50 bytes each) are broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
-AT = ("doc_id", "line_no")
+SPACES = " \t\n\x0b\x0c\r"
+AT = ("doc_id", "line_no", "row")
+
+
+def _has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(SPACES)) != ""
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``line_no`` (from 0) and ``line`` of every line with a word."""
-    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """``doc_id``, ``row`` (a digest of the text), ``line_no`` (from 0) and ``line`` of every line with a word."""
+    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(_has_word(F.col("line")))
+
+
+#: The fixed points of the hash ring, ascending.
+POINTS = [-(1 << 63) + 0x5851F42D4C957F + b * ((1 << 64) // BANDS) for b in range(BANDS)]
+EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))."
+STARTS = rf"(?s)(?=(.{{{SHINGLE}}}))(?:\S++\s*+|\s++)"
+
 
+def _hashed(cut: Column) -> Column:
+    return F.transform(cut, lambda x: F.xxhash64(x))
 
-def _units(line: Column) -> Column:
-    return F.encode(line, "UTF-16BE")
 
+def _shingles(line: str) -> Column:
+    """All shingles of a line, in order, repeats included."""
+    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
 
-def _shingles(line: str) -> str:
-    """SQL for the distinct shingle digests of a column."""
-    return f"""transform(array(encode({line}, 'UTF-16BE')), u -> array_distinct(transform(
-        sequence(0, greatest(octet_length(u) div 2 - {SHINGLE}, 0)), i -> xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE})))))[0]"""
 
+def signed(rows: DataFrame) -> DataFrame:
+    """Replaces ``line`` by ``keys``: a digest per band, of one or two signatures."""
+    rest = [c for c in rows.columns if c != "line"]
+    cut = lambda how: _hashed(F.regexp_extract_all("line", F.lit(how), F.lit(1)))
+    distinct = lambda x: F.sort_array(F.array_distinct(x))
+    made = rows.select(*rest, "line", cut(STARTS).alias("s"))
+    sparse = F.size("s") * SPARSE < F.length("line") - SHINGLE
+    made = made.select(*rest, distinct(F.when(F.size("s") == 0, F.array(F.xxhash64("line"))).otherwise(F.col("s"))).alias("s"), F.when(sparse, cut(EVERY)).alias("e"))
+    made = made.select(*rest, "s", F.when(F.size("e") > 0, distinct("e")).alias("e"))
+    points = F.array(*map(F.lit, POINTS))
+    again = lambda c: F.when(F.size(c) >= ROWS, F.slice(c, 1, ROWS)).otherwise(F.slice(F.concat(*[c] * ROWS), 1, ROWS))
+    made = made.select(*rest, *[x for c in ("s", "e") for x in (F.concat(c, again(c)).alias(f"{c}_ring"), F.sort_array(F.concat(c, points)).alias(f"{c}_marked"))])
+    # The place of a point among the hashes, less the points before it, is where its band starts on the ring.
+    s = F.array(*[F.xxhash64(F.lit(b), F.slice("s_ring", F.array_position("s_marked", F.lit(p)).cast("int") - b, F.lit(ROWS))) for b, p in enumerate(POINTS)])
+    made = made.select(*rest, "e_ring", "e_marked", s.alias("keys"))
+    e = F.transform(points, lambda p, b: F.xxhash64(b + BANDS, F.slice("e_ring", F.array_position("e_marked", p).cast("int") - b, F.lit(ROWS))))
+    return made.select(*rest, F.when(F.col("e_ring").isNull(), F.col("keys")).otherwise(F.concat("keys", e)).alias("keys"))
 
-def signatures(heads: DataFrame) -> DataFrame:
-    """``doc_id``, ``line_no``, ``keys`` (a digest per band) of lines that are spread by the first two."""
-    cut = heads.select(*AT, _units(F.col("line")).alias("u"))
-    cut = cut.select(*AT, "u", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"cast(octet_length(u) div 2 - {SHINGLE} as int)"), F.lit(0)))).alias("i"))
-    hashed = cut.select(*AT, F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * SHINGLE}))").alias("h"))
-    bins = hashed.select(*AT, F.expr(f"cast(pmod(h, {BINS}) as int)").alias("bin"), "h").groupBy(*AT, "bin").agg(F.min("h").alias("h"))
-    mins = bins.groupBy(*AT).agg(*[F.min(F.when(F.col("bin") == i, F.col("h"))).alias(f"m{i}") for i in range(BINS)])
-    # Densification: the distance travelled is part of the value, so that borrowed minima match only alike.
-    filled = [F.coalesce(F.col(f"m{i}"), *[F.col(f"m{(i + d) % BINS}").bitwiseXOR(F.lit(d * 0x1E3779B97F4A7C)) for d in range(1, BINS)]) for i in range(BINS)]
-    dense = mins.select(*AT, *[x.alias(f"m{i}") for i, x in enumerate(filled)])
-    return dense.select(*AT, F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("keys"))
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """``lid``, ``n`` (distinct shingles) and ``bits`` (their parity bitmap) of each line."""
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.expr(f"(h >> 6) & {WORDS - 1}")
+    rows = texts.select("lid", _shingles("line").alias("h")).select("lid", _hashed(F.col("h")).alias("h")).select("lid", F.explode(F.array_distinct("h")).alias("h"))
+    made = rows.groupBy("lid").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
+    return made.select("lid", "n", F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
 
-def _verified(pairs: DataFrame, ids: DataFrame, docs: DataFrame, folder: str, name: str) -> DataFrame:
+
+def _may_be_similar(a: str, b: str) -> Column:
+    """False only for pairs under ``SIMILAR``: too many bits of the bitmaps, or too large a part of the sizes, differ."""
+    differ = f"cast({' + '.join(f'bit_count(get({a}.bits, {w}) ^ get({b}.bits, {w}))' for w in range(WORDS))} as bigint)"
+    return F.expr(f"greatest({differ}, abs({a}.n - {b}.n)) * {1 + SIMILAR}D <= ({a}.n + {b}.n) * {1 - SIMILAR}D + 1e-6D")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, folder: str, name: str) -> DataFrame:
     """Of the pairs (a, b) of line ids, those at exact Jaccard similarity of ``SIMILAR`` or more."""
-    pairs = written(pairs, folder, f"pairs-{name}")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    wanted = written(ids.join(wanted, "lid").select("lid", *AT), folder, f"wanted-{name}")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = written(lines(docs).dropDuplicates(list(AT)).join(side, list(AT)).select("lid", "line") if side is wanted else lines(docs).join(side, list(AT)).select("lid", "line").dropDuplicates(["lid"]), folder, f"texts-{name}")
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    both = both.select("a", "b", F.expr(f"""transform(array(named_struct('s', {_shingles("x")}, 't', {_shingles("y")})), p ->
-        transform(array(size(array_intersect(p.s, p.t))), n -> n >= {SIMILAR}D * (size(p.s) + size(p.t) - n))[0])[0]""").alias("ok"))
-    return written(both.where("ok").select("a", "b"), folder, f"links-{name}")
+    both = both.select("a", "b", _shingles("x").alias("s"), _shingles("y").alias("t"))
+    # Explode is a generator: what it reads is evaluated once, and no filter moves below it.
+    both = both.select("a", "b", F.explode(F.array(F.struct(_hashed(F.col("s")).alias("s"), _hashed(F.col("t")).alias("t")))).alias("p"))
+    percent = round(100 * SIMILAR)
+    similar = f"{100 + percent} * size(array_intersect(p.s, p.t)) >= {percent} * (size(array_distinct(p.s)) + size(array_distinct(p.t)))"
+    return written(both.where(similar).select("a", "b"), folder, f"links-{name}")
 
 
-def duplicate_lines(docs: DataFrame, folder: str) -> DataFrame:
-    """``doc_id``, ``line_no`` of every line to remove, with ``keep_doc``, ``keep_line``: the line that stays for it."""
-    docs = docs.select("doc_id", "text")
-    occurrences = written(lines(docs).select(*AT, F.unhex(F.md5("line")).alias("key")), folder, "occurrences")
-    classes = written(occurrences.groupBy("key").agg(F.min(F.struct(*AT)).alias("head")).select("key", "head.*"), folder, "classes")
-    heads = lines(docs).join(classes.select(*AT).hint("shuffle_hash"), list(AT))
-    ids = written(signatures(heads).withColumn("lid", F.monotonically_increasing_id()), folder, "ids")
+def _small(rows: DataFrame, n: Column | None = None) -> bool:
+    """Whether a written table has at most ``BROADCAST_ROWS`` rows (or of what ``n`` counts)."""
+    return (rows.agg(F.count("*") if n is None else F.sum(n)).first()[0] or 0) <= BROADCAST_ROWS
+
+
+def _pick(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lid`` and ``line`` at the places of ``wanted``, by document; the places are broadcast if their checked number allows."""
+    places = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "lid")).alias("places"))
+    places = F.broadcast(places) if _small(wanted) else places
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    found = texts.alias("l").join(places.alias("w"), F.expr("l.doc_id <=> w.doc_id and l.row = w.row")).select("places", F.split("text", "\n", -1).alias("cut"))
+    return found.select(F.explode(F.transform("places", lambda p: F.struct(p["lid"].alias("lid"), F.get("cut", p["line_no"]).alias("line")))).alias("x")).select("x.lid", "x.line")
+
+
+def similar_lines(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All lines (``doc_id``, ``line_no``, ``row``, ``class``), and of each class that loses a line its ``class`` and the place
+    ``keep`` of the line that stays for it."""
+    every = written(signed(lines(docs).select(*AT, F.unhex(F.md5("line")).alias("class"), "line")), folder, "lines")
+    classes = every.groupBy("class").agg(F.min(F.struct(*AT)).alias("head"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    ids = written(classes.withColumn("lid", F.monotonically_increasing_id()), folder, "classes")
 
     by_bucket = "partition by key order by lid rows between unbounded preceding and current row"
     rows = ids.select("lid", F.explode("keys").alias("key")).withColumn("first", F.expr(f"min(lid) over ({by_bucket})"))
     followers = written(rows.where("lid != first"), folder, "followers")
-    first = _verified(followers.select(F.col("first").alias("a"), F.col("lid").alias("b")).distinct(), ids, docs, folder, "first")
+    wanted = followers.select(F.explode(F.array("first", "lid")).alias("lid")).distinct()
+    wanted = written(ids.join(wanted, "lid").select("lid", "head.*"), folder, "wanted")
+    texts = written(_pick(docs, wanted).dropDuplicates(["lid"]), folder, "texts")
+    sketches = written(_sketches(texts), folder, "sketches")
+
+    pairs = followers.select(F.col("first").alias("a"), F.col("lid").alias("b")).distinct()
+    named = pairs.join(sketches.select(F.col("lid").alias("a"), F.struct("n", "bits").alias("p")), "a").join(sketches.select(F.col("lid").alias("b"), F.struct("n", "bits").alias("q")), "b")
+    first = _verified(written(named.where(_may_be_similar("p", "q")).select("a", "b"), folder, "pairs-first"), texts, folder, "first")
+
     stars = written(components(first, folder, "cc-first"), folder, "stars-first")
 
     members = followers.select("key", "lid").unionByName(followers.select("key", F.col("first").alias("lid"))).distinct()
-    leaders = followers.select("key", "first").distinct()
-    named = members.join(stars.withColumnRenamed("id", "lid"), "lid", "left").select("key", "lid", F.coalesce("component", "lid").alias("component"))
+    named = written(members.join(stars.withColumnRenamed("id", "lid"), "lid", "left").select("key", "lid", F.coalesce("component", "lid").alias("component")), folder, "named")
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("top"))
-    open_rows = written(named.join(largest, "key").join(leaders, "key").where("lid != first"), folder, "open")
-    minor = open_rows.where("component != top").select("key", F.col("lid").alias("p"), F.col("component").alias("cp"))
-    again = minor.join(open_rows.select("key", "lid", "component"), "key").where("component != cp").select(F.least("p", "lid").alias("a"), F.greatest("p", "lid").alias("b")).distinct()
-    second = _verified(again, ids, docs, folder, "second")
-    stars = components(first.unionByName(second), folder, "cc-second")
+    left = written(named.join(largest, "key").join(sketches, "lid"), folder, "open")
+    minor, others = left.where("component != top").alias("p"), left.alias("q")
+    again = minor.join(others, F.expr("p.key = q.key and p.component != q.component and (q.component = q.top or p.lid < q.lid)") & _may_be_similar("p", "q"))
+    again = again.select(F.least("p.lid", "q.lid").alias("a"), F.greatest("p.lid", "q.lid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    second = _verified(written(again, folder, "pairs-second"), texts, folder, "second")
+    stars = components(first.unionByName(second), folder, "cc")
 
-    merged = stars.withColumnRenamed("id", "lid").join(ids.select("lid", *AT), "lid")
-    keep = merged.groupBy("component").agg(F.min(F.struct(*AT)).alias("k")).select("component", F.col("k.doc_id").alias("keep_doc"), F.col("k.line_no").alias("keep_line"))
-    keep = merged.join(keep, "component").select(*AT, "keep_doc", "keep_line")
-    verdicts = classes.join(keep, list(AT), "left").select("key", F.coalesce("keep_doc", "doc_id").alias("keep_doc"), F.coalesce("keep_line", "line_no").alias("keep_line"))
-    return occurrences.join(verdicts, "key").where("doc_id != keep_doc or line_no != keep_line").select(*AT, "keep_doc", "keep_line").distinct()
+    merged = written(stars.withColumnRenamed("id", "lid").join(ids.select("class", "lid", "head"), "lid"), folder, "merged")
+    keep = merged.groupBy("component").agg(F.min("head").alias("keep"))
+    alone = ids.where("n > 1").join(merged.select("lid"), "lid", "left_anti").select("class", F.col("head").alias("keep"))
+    return every.select(*AT, "class"), written(merged.join(keep, "component").select("class", "keep").unionByName(alone), folder, "fate")
+
+
+def duplicate_lines(docs: DataFrame, folder: str) -> DataFrame:
+    """``doc_id``, ``line_no``, ``row`` of every line to remove, with ``keep_doc``, ``keep_line``: the line that stays for it."""
+    every, fate = similar_lines(docs.select("doc_id", "text"), folder)
+    lost = every.join(F.broadcast(fate) if _small(fate) else fate, "class").where(~F.struct(*AT).eqNullSafe(F.col("keep")))
+    return lost.select(*AT, F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")).distinct()
 
 
 def removals(docs: DataFrame, folder: str) -> DataFrame:
-    """``doc_id`` and the sorted ``removed`` line numbers of documents that lose lines."""
-    return duplicate_lines(docs, folder).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    """``doc_id``, ``row`` and the sorted ``removed`` line numbers of documents that lose lines."""
+    return duplicate_lines(docs, folder).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+
+
+def _with_removals(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as a struct ``d`` with its ``removed`` lines (null: none)."""
+    rows = docs.select(F.struct(*docs.columns).alias("d"))
+    gone = F.broadcast(gone) if _small(gone, F.size("removed") + 1) else gone
+    return rows.join(gone, F.expr("d.doc_id <=> doc_id and xxhash64(d.text) = row"), "left").select("d", "removed")
 
 
 def drop_lines(docs: DataFrame, folder: str) -> DataFrame:
@@ -115,19 +185,23 @@ def drop_lines(docs: DataFrame, folder: str) -> DataFrame:
 
     A document that loses every line with a word goes.
     """
-    gone = written(removals(docs, folder), folder, "removals")
-    both = docs.join(gone, "doc_id", "left")
-    left = F.expr("""CASE WHEN removed IS NULL THEN text ELSE transform(array(map_from_arrays(removed, removed)), m ->
-        array_join(filter(split(text, '\n', -1), (x, i) -> NOT map_contains_key(m, i)), '\n'))[0] END""")
-    both = both.withColumn("text", left).where(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    both = _with_removals(docs, written(removals(docs, folder), folder, "removals"))
+    left = F.expr("""CASE WHEN removed IS NULL THEN d.text ELSE transform(array(map_from_arrays(removed, removed)), m ->
+        array_join(filter(split(d.text, '\n', -1), (x, i) -> NOT map_contains_key(m, i)), '\n'))[0] END""")
+    both = both.withColumn("left", left).where(F.col("removed").isNull() | _has_word(F.col("left")))
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return both.select(docs.columns)
+        new["n_chars"] = F.when(F.col("removed").isNull(), F.col("d.n_chars")).otherwise(F.length("left")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*[new.get(c, F.col("d").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines with a word, and the numbers of the lines that go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    counts = docs.select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("n_lines"))
-    gone = removals(docs, shared_dir(spark))
-    return counts.join(gone, "doc_id", "left").select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(F.coalesce("removed", F.array().cast("array<int>"))).cast("long").alias("n_removed"), F.array_join(F.coalesce("removed", F.array().cast("array<int>")), ",").alias("removed"))
+    every, fate = similar_lines(docs, shared_dir(spark))
+    judged = every.join(F.broadcast(fate) if _small(fate) else fate, "class", "left")
+    lost = F.col("keep").isNotNull() & ~F.struct(*AT).eqNullSafe(F.col("keep"))
+    per_doc = judged.groupBy("doc_id", "row").agg(F.size(F.collect_set("line_no")).alias("n_lines"), F.sort_array(F.collect_set(F.when(lost, F.col("line_no")))).alias("removed"))
+    both = docs.select("doc_id", F.xxhash64("text").alias("row")).alias("l").join(per_doc.alias("g"), F.expr("l.doc_id <=> g.doc_id and l.row = g.row"), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return both.select("l.doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed"))
