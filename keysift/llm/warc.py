@@ -5,14 +5,15 @@ one archive, record by record. Reading: the archives are cut into ranges. Tasks
 start in their range (the magic bytes, wherever they are) with its successor, already followed to the first
 start beyond the range; pointer jumping from the start of each file keeps what is reachable, in as many
 rounds as the logarithm of the ranges of a file. Magic inside payloads is never reached. Records then are
-parsed from each range's verified entry.
+parsed from each range's verified entry. A chain that doesn't reach the end of its file is an error.
 
 Plain archives have the magic ``WARC/1.`` and successors by Content-Length; compressed ones have a gzip
 member per record and successors by inflating it.
 
 Defined results: null payloads are empty; a null URL is written as ``about:blank``; a null page id reads back
 as null and is never referred to while another id has the payload; of rows with the same largest id and
-payload all are responses; an empty table writes no file and reads as no row.
+payload all are responses; an empty table writes no file and reads as no row; payloads of any length are whole, heads are
+up to ``HEAD`` bytes; other columns don't matter. Payloads aren't shuffled but where more than ``BROADCAST_ROWS`` of them repeat.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ from keysift.llm.common import open_fs, shared_dir, written
 MAGIC, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
 RANGE = 8 << 20
 BLOCK = 1 << 20
+HEAD = 16 << 20
+#: Digests of repeated payloads of at most this many are broadcast (about 60 bytes each).
+BROADCAST_ROWS = 1_000_000
+#: Rows of one payload from which on its digest is joined apart: there are at most as many such digests as rows over this.
+HOT = 100_000
 
 
 def record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None) -> bytes:
@@ -49,8 +55,16 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
 def write_archives(pages: DataFrame, folder: str, payload: str = "html", compress: bool = True) -> DataFrame:
     """Writes ``page_id``, ``url`` and the payload column as archives below ``folder``; returns (path, size) per file."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("body")).withColumn("sha", F.sha1("body"))
-    shared = rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    plan = rows.join(shared, "sha", "left").withColumn("revisit", F.coalesce(F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first"))), F.lit(False)))
+    shared = written(rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), f"{folder}-plan", "shared")
+    if shared.count() <= BROADCAST_ROWS:
+        plan = rows.join(F.broadcast(shared.drop("n")), "sha", "left")
+    else:
+        hot = shared.where(F.col("n") >= HOT).select("sha", F.col("first").alias("top"))
+        marked = rows.join(F.broadcast(hot), "sha", "left")
+        # Rows of a hot payload are spread: they have their answer and match no key.
+        cold = marked.withColumn("key", F.when(F.col("top").isNull(), F.col("sha")).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64("page_id", "url")))))
+        plan = cold.join(shared.where(F.col("n") < HOT).select(F.col("sha").alias("key"), "first"), "key", "left").withColumn("first", F.coalesce("top", "first"))
+    plan = plan.withColumn("revisit", F.coalesce(F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first"))), F.lit(False)))
     plan = plan.select("page_id", "url", "sha", F.octet_length("body").alias("size"), F.when(~F.col("revisit"), F.col("body")).alias("body"), F.when(F.col("revisit"), F.col("first")).alias("refers"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +140,7 @@ def record_at(reader: Reader, at: int, compress: bool, body: bool) -> tuple[dict
     head = b""
     while b"\r\n\r\n" not in head:
         more = reader.read(at + len(head), min(1 << 12, reader.size - at - len(head)))
-        if not more or not head and not more.startswith(MAGIC) or len(head) > BLOCK:
+        if not more or not head and not more.startswith(MAGIC) or len(head) > HEAD:
             return None
         head += more
     head = head[: head.index(b"\r\n\r\n")]
@@ -169,7 +183,8 @@ def candidates(ranges: DataFrame, compress: bool) -> DataFrame:
                         after[at] = after.get(after[at], -1)
                 yield pa.RecordBatch.from_pydict({"path": [path] * len(starts), "at": starts, "next": [after[x] for x in starts]}, pa.schema([("path", pa.string()), ("at", pa.int64()), ("next", pa.int64())]))
 
-    return ranges.repartition("path", "start").mapInArrow(work, "path string, at long, next long")
+    # A number keeps adaptive execution from merging these few rows, each of which stands for a range of a file.
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(work, "path string, at long, next long")
 
 
 def reachable(links: DataFrame, files: DataFrame, folder: str) -> DataFrame:
@@ -198,9 +213,12 @@ RECORDS = "page_id long, url string, record_type string, payload_digest string,
 def read_archives(files: DataFrame, folder: str, compress: bool = True, size: int = RANGE) -> DataFrame:
     """The records of archives (path, size): verified boundaries, parsed in parallel. A revisit's payload is null."""
     files = written(files, folder, "files")
-    ranges = ranges_of(files, size)
+    ranges = written(ranges_of(files, size), folder, "ranges")
     seen = reachable(candidates(ranges, compress), files, folder)
-    entries = ranges.join(seen, "path").where("at >= start and at < end").select("path", "at", "end")
+    broken = files.where("size > 0").join(seen.select("path", F.col("at").alias("size")), ["path", "size"], "left_anti")
+    if lost := broken.select("path").limit(5).collect():
+        raise ValueError(f"records don't reach the end of {', '.join(r['path'] for r in lost)}")
+    entries = written(ranges.join(seen.withColumn("part", F.floor(F.col("at") / size).cast("int")), ["path", "part"]).where("at < end").select("path", "at", "end"), folder, "entries")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -208,7 +226,10 @@ def read_archives(files: DataFrame, folder: str, compress: bool = True, size: in
             for path, at, end in zip(*(x.to_pylist() for x in batch.columns)):
                 reader, rows, held = Reader(path), [], 0
                 while at < end:
-                    fields, payload, at = record_at(reader, at, compress, True)
+                    found = record_at(reader, at, compress, True)
+                    if found is None:
+                        raise ValueError(f"{path}: there is no record at {at}")
+                    fields, payload, at = found
                     kind = fields["WARC-Type"]
                     page = fields["Page-ID"]
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -223,7 +244,7 @@ def read_archives(files: DataFrame, folder: str, compress: bool = True, size: in
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return entries.repartition("path", "at").mapInArrow(work, RECORDS)
+    return entries.repartition(max(1, entries.count())).mapInArrow(work, RECORDS)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
