@@ -2,11 +2,12 @@
 
 Only the number of pieces of each length matters to the plan, so the plan's input has at most ``CAPACITY``
 rows whatever the corpus. Items are taken from the largest down; each bin is completed around the largest
-item left by an undominated filling (no filling of which another, with the same or fewer items swapped for
-larger ones that still fit, is as good). The incumbent is best-fit decreasing, computed on counts: equal bins
+item left by an undominated filling: none of which some items could give way to a larger one left out, or to
+one of their total, that still fits. The incumbent is best-fit decreasing, computed on counts: equal bins
 are one group. If it meets the bound ceil(total / capacity), raised by the number of items over half a bin,
 it is optimal. Otherwise branch and bound goes through completions depth-first, cutting a branch once the
-waste so far exceeds what a better solution can have, within ``NODES`` nodes and fillings (400 fillings a node); the best found is used.
+waste so far exceeds what a better solution can have. ``NODES`` steps bound it, first on all items, then on those
+of the loosest bins; without that bound (``nodes=None``) it ends at an optimal plan.
 
 The plan lists, per length, runs of ranks and where they go. Pieces get their rank within their length from
 counts per task (no window over a hot length), and find their place by binary search.
@@ -15,13 +16,15 @@ Tokens: words are cut at blanks and encoded once per task, while a cache of ``CA
 splits at white space itself, so ids are those of the whole text.
 
 Defined results: null and empty texts have the end id alone; rows with a null doc_id are packed like others;
-repeated rows are packed each; an empty table gives no row.
+repeated rows are packed each; pieces of equal length take places in order of task and row; texts of any length are encoded
+whole; an empty table gives no row; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -83,81 +86,141 @@ def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
     return bound
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, list[int]]]:
-    """Maximal fillings of ``room``, larger items first; (waste, items). Those that a kept larger item would dominate are skipped."""
+def _dominated(lengths: list[int], left: dict[int, int], taken: dict[int, int], waste: int) -> bool:
+    """Whether an item left out is worth more in the bin than some items in it: it takes their place and still fits.
+
+    Swapping those items for the larger one (or one of the same total) can only make the rest easier to pack.
+    """
+    one, many = 1, 0  # bit s: a sum s of at most one item, of two or more
+    for k, n in taken.items():
+        for _ in range(n):
+            many |= (many << k) | ((one & ~1) << k)
+            one |= 1 << k
+    sums = one | many
+    for x in lengths:
+        if left[x] > taken.get(x, 0):
+            low = max(0, x - waste)
+            if (sums >> low) & ((1 << (x - low)) - 1) or (many >> x) & 1:
+                return True
+    return False
 
-    def deeper(i: int, room: int, chosen: list[int]) -> Iterator[tuple[int, list[int]]]:
-        while i < len(lengths) and (lengths[i] > room or not counts[lengths[i]]):
-            i += 1
-        if i == len(lengths):
-            yield room, chosen
-            return
-        k = lengths[i]
-        for take in range(min(room // k, counts[k]), -1, -1):
-            left = room - take * k
-            # Leaving k out for good is dominated if it would still fit in the end.
-            for waste, items in deeper(i + 1, left, chosen + [k] * take):
-                if take == counts[k] or waste < k:
-                    yield waste, items
 
-    yield from deeper(0, room, [])
+def fillings(lengths: list[int], left: dict[int, int], room: int, slack: int, spend: Callable[[], None]) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` that waste at most ``slack``, larger items first. ``lengths`` descend; ``spend`` is called for each step."""
+    taken: dict[int, int] = {}
 
+    def deeper(i: int, room: int) -> Iterator[tuple[int, ...]]:
+        spend()
+        for j in range(bisect_left(lengths, -room, i, key=lambda k: -k), len(lengths)):
+            k = lengths[j]
+            for n in range(min(room // k, left[k]), 0, -1):
+                taken[k] = n
+                yield from deeper(j + 1, room - n * k)
+                del taken[k]
+        if room <= slack and not _dominated(lengths, left, taken, room):
+            yield tuple(k for k, n in taken.items() for _ in range(n))
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """As few bins as found within ``nodes`` nodes; optimal where the search ends earlier or the bound is met."""
-    counts = {k: n for k, n in counts.items() if n}
-    best = best_fit(counts, capacity)
-    least, used = lower_bound(counts, capacity), sum(n for n, _ in best)
-    if used <= least or not counts:
-        return best
-    lengths, left = sorted(counts, reverse=True), dict(counts)
-    total, budget = sum(k * n for k, n in counts.items()), nodes
-
-    def search(done: Plan, bins: int, waste: int) -> bool:
-        """True once the bound is met or nodes are used up."""
-        nonlocal best, used, budget
-        budget -= 1
-        top = next((k for k in lengths if left[k]), None)
-        if top is None:
-            if bins < used:
-                best, used = [(n, list(items)) for n, items in done], bins
-            return used <= least
-        if waste > (used - 1) * capacity - total or bins >= used - 1:
-            return budget <= 0
+    yield from deeper(0, room)
+
+
+class _Spent(Exception):
+    pass
+
+
+def complete(counts: dict[int, int], capacity: int, incumbent: Plan, nodes: int | None) -> tuple[Plan, bool]:
+    """Bin completion from the incumbent on: the best plan found, and whether it is proven to be one of the fewest bins.
+
+    Depth-first over the fillings around the largest item left, each tried in multiples, with a stack of its own. A
+    branch is cut once its waste leaves no room for a better plan, or where its items left were reached with as few bins.
+    """
+    best, used, least = incumbent, sum(n for n, _ in incumbent), lower_bound(counts, capacity)
+    lengths, left, total = sorted(counts, reverse=True), dict(counts), sum(k * n for k, n in counts.items())
+    steps, reached = 0, {}
+
+    def spend() -> None:
+        nonlocal steps
+        steps += 1
+        if nodes is not None and steps > nodes:
+            raise _Spent
+
+    def branches(bins: int, waste: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        state = tuple(left[k] for k in lengths)
+        if reached.get(state, used) <= bins:
+            return
+        reached[state] = bins
+        top = next(k for k in lengths if left[k])
+        slack = (used - 1) * capacity - total - waste
         left[top] -= 1
-        options, seen = [], 0
-        for lost, items in fillings(lengths, left, capacity - top):
-            seen += 1
-            budget -= 1
-            options.append((lost, items))
-            if lost == 0 and len(options) > 8 or seen > 400:
-                break
+        rest = [k for k in lengths if left[k]]
+        found = [(top, *items) for items in fillings(rest, left, capacity - top, slack, spend)] if nodes is None else ((top, *items) for items in fillings(rest, dict(left), capacity - top, slack, spend))
         left[top] += 1
-        for lost, items in sorted(options, key=lambda x: x[0]):
-            filling = [top, *items]
-            need = {k: filling.count(k) for k in set(filling)}
-            times = max(1, min(left[k] // n for k, n in need.items())) if lost == 0 else 1
-            for k, n in need.items():
-                left[k] -= n * times
-            done.append((times, filling))
-            over = search(done, bins + times, waste + lost * times)
-            done.pop()
-            for k, n in need.items():
-                left[k] += n * times
-            if over or budget <= 0:
-                return True
-        return False
+        for filling in sorted(found, key=sum, reverse=True) if nodes is None else found:
+            for times in range(min(left[k] // filling.count(k) for k in set(filling)), 0, -1):
+                yield times, filling
 
-    import sys
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, nodes * 8 + 10_000) if nodes * 8 < 900_000 else limit)
+    path: Plan = []
+    bins = waste = 0
+    stack = [branches(0, 0)]
     try:
-        search([], 0, 0)
-    except RecursionError:
-        pass
-    finally:
-        sys.setrecursionlimit(limit)
+        while stack and used > least:
+            if path and len(path) == len(stack):
+                times, filling = path.pop()
+                for k in filling:
+                    left[k] += times
+                bins, waste = bins - times, waste - times * (capacity - sum(filling))
+            step = next(stack[-1], None)
+            if step is None:
+                stack.pop()
+                continue
+            times, filling = step
+            for k in filling:
+                left[k] -= times
+            path.append((times, list(filling)))
+            bins, waste = bins + times, waste + times * (capacity - sum(filling))
+            if not any(left.values()):
+                if bins < used:
+                    best, used = list(path), bins
+                stack.append(iter(()))
+            elif bins >= used - 1 or waste > (used - 1) * capacity - total:
+                stack.append(iter(()))
+            else:
+                stack.append(branches(bins, waste))
+    except _Spent:
+        return best, used <= least
+    return best, True
+
+
+def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> Plan:
+    """As few bins as found: within ``nodes`` steps, or, without that bound, as few as there can be.
+
+    With a bound, the search is tried on all items, then on those of bins that aren't full, the fullest bins last, so that
+    it reaches whole plans at any size: full bins waste nothing and stay as they are.
+    """
+    counts = {k: n for k, n in counts.items() if n}
+    best = best_fit(counts, capacity)
+    if not counts or sum(n for n, _ in best) <= lower_bound(counts, capacity):
+        return best
+    best, proven = complete(counts, capacity, best, nodes)
+    if proven or nodes is None:
+        return best
+    for most in (1, 4, 16, 64):
+        loose = sorted((g for g in best if sum(g[1]) < capacity), key=lambda g: sum(g[1]))
+        part, room = [], most * 4
+        for n, items in loose:
+            part.append((min(n, room), items))
+            room -= part[-1][0]
+            if not room:
+                break
+        inside: dict[int, int] = defaultdict(int)
+        for n, items in part:
+            for k in items:
+                inside[k] += n
+        better, _ = complete(inside, capacity, part, nodes)
+        if sum(n for n, _ in better) < sum(n for n, _ in part):
+            gone = {id(items): n for n, items in part}
+            best = [(n - gone.get(id(items), 0), items) for n, items in best if n > gone.get(id(items), 0)] + better
+            if sum(n for n, _ in best) <= lower_bound(counts, capacity):
+                break
     return best
 
 
