@@ -111,6 +111,18 @@ def holds_any(column: str, found: list[str]) -> Column:
     return F.expr(tests[0])
 
 
+def gate(column: str, found: list[str]) -> Column:
+    """As ``holds_any``, for texts that mostly hold none: strings with a mark in them are looked for only where that mark is."""
+    by_mark: dict[str, list[str]] = {}
+    for w in found:
+        by_mark.setdefault(next((c for c in w if not c.isalnum() and c not in ". "), ""), []).append(w)
+    plain = by_mark.pop("", [])
+    out = holds_any(column, plain) if plain else F.lit(False)
+    for mark, some in sorted(by_mark.items()):
+        out = out | (F.expr(f"contains({column}, {quote(mark)})") & holds_any(column, some))
+    return out
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates ``value`` once within ``body``."""
     return F.transform(F.array(value), body)[0]

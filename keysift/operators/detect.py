@@ -6,7 +6,7 @@ shuffled until the findings, few and small, are put in order per file.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,10 +28,15 @@ class Options:
     base64_floor: float = 4.5
     hex_floor: float = 3.0
     marker: str = T.MARKER
+    #: From a rule's id, a line and the line before to whether the finding is dropped; None: directives with ``marker``.
+    suppressor: Callable[[Column, Column, Column], Column] | None = None
 
     def settled(self) -> Options:
         """A minimal length that isn't positive resets all entropy settings."""
-        return self if self.min_length > 0 else Options(marker=self.marker)
+        return self if self.min_length > 0 else Options(marker=self.marker, suppressor=self.suppressor)
+
+    def suppressed(self, rule: Column, line: Column, prev: Column) -> Column:
+        return self.suppressor(rule, line, prev) if self.suppressor else T.suppressed(rule, line, prev, self.marker)
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
@@ -57,6 +62,12 @@ def scannable(lines: DataFrame) -> DataFrame:
     return lines.where(F.octet_length("line").between(1, LINE_BYTES))
 
 
+def minimal(words: Iterable[str]) -> list[str]:
+    """Without strings that hold another: they add nothing to a gate."""
+    words = sorted(set(words))
+    return [w for w in words if not any(v != w and v in w for v in words)]
+
+
 def candidates(rules: list[Rule]) -> Column:
     """Ids of the rules of which a keyword is in the ASCII-lowered line ``low``."""
     return F.array_compact(F.array(*[F.when(T.holds_any("low", list(r.keywords)), F.lit(r.id)) for r in rules]))
@@ -148,7 +159,9 @@ def entropy_candidates(line: Column, least: int = 20) -> Column:
 
         return F.transform(g["runs"], one)
 
-    return T.bind(F.struct(gaps.alias("gaps"), runs.alias("runs")), of)
+    # Most lines have no such run, and ask no more than that.
+    none = F.array().cast("array<struct<start:bigint,end:bigint,secret:string>>")
+    return F.when(line.rlike(rf"[0-9A-Za-z+/=_-]{{{least}}}"), T.bind(F.struct(gaps.alias("gaps"), runs.alias("runs")), of)).otherwise(none)
 
 
 def file_context(files: DataFrame, header_lines: int | None = 3, head_bytes: int = 8192) -> DataFrame:
@@ -164,12 +177,13 @@ def matches(files: DataFrame, rules: Iterable[Rule] = RULES, options: Options =
     """A row per match of a rule (``rule``: its number) and per run of high entropy (-1) that no filter drops, judged."""
     rules, o = catalogue(rules), options.settled()
     keep = ["path", *extra]
+    files = files if TEXT_ID in files.columns else files.withColumn(TEXT_ID, F.xxhash64("content"))
+    keep.append(TEXT_ID)
     lines = scannable(explode_lines(files.select(*keep, "content", "discounted", "reason")))
     low = lines
     words = sorted({k for r in rules for k in r.keywords} | set(CONTEXT_WORDS if o.entropy else ()))
     if not o.entropy or o.contextual:
-        # A keyword that holds another adds nothing to the gate.
-        low = low.where(T.holds_any("low", [w for w in words if not any(v != w and v in w for v in words)]))
+        low = low.where(T.gate("low", minimal(words)))
     line, prev = F.col("line"), F.col("prev")
     item = "array<struct<rule:int,start:bigint,end:bigint,secret:string>>"
     # Explode is a generator: what it reads is evaluated once.
@@ -182,11 +196,13 @@ def matches(files: DataFrame, rules: Iterable[Rule] = RULES, options: Options =
     rows = tried.select(*keep, "discounted", "reason", "line_no", "line", "prev", T.pem_body(F.col("next")).alias("pem"), F.explode(found).alias("m")).select("*", "m.*").drop("m")
     rows = rows.withColumn("kind", T.alphabet(F.col("secret"))).where((F.col("rule") >= 0) | (F.col("kind") != "other"))
     rows = rows.withColumn("fact", F.get(rule_facts(rules), F.col("rule")))
-    rows = rows.where(~T.suppressed(F.coalesce("fact.id", F.lit(T.ENTROPY_RULE)), line, prev, o.marker) & ~T.is_placeholder(F.col("secret")))
+    rows = rows.where(~o.suppressed(F.coalesce("fact.id", F.lit(T.ENTROPY_RULE)), line, prev) & ~T.is_placeholder(F.col("secret")))
     judged = judge(rows).where((F.col("rule") >= 0) | (F.col("entropy") >= T.entropy_floor(F.col("kind"), o.base64_floor, o.hex_floor)))
     return judged.withColumn("line_sample", T.sample(line)).drop("line", "prev")
 
 
+#: Tells texts that share a path (or have none) apart; rows equal in both are one text.
+TEXT_ID = "__text_id"
 HIT_COLUMNS = ("rule", "start", "end", "secret", "entropy", "rank", "score", "validated", "engines", "notes")
 
 
@@ -196,7 +212,10 @@ def detect(files: DataFrame, rules: Iterable[Rule] = RULES, options: Options = O
     if "discounted" not in files.columns:
         files = file_context(files)
     found = matches(files, rules, options, extra).withColumn("deferred", F.coalesce("fact.deferred", F.lit(False)))
-    by_line = found.groupBy("path", *extra, "line_no").agg(F.sort_array(F.collect_list(F.struct(*HIT_COLUMNS, "deferred"))).alias("all"), F.first("pem").alias("pem"), F.first("line_sample").alias("line_sample"), F.first("discounted").alias("discounted"), F.first("reason").alias("reason"))
+    # Findings alone are shuffled, once: a text's lines lie together, and both groupings below keep that partitioning.
+    text = ["path", *extra, TEXT_ID]
+    found = found.repartition(*text)
+    by_line = found.groupBy(*text, "line_no").agg(F.sort_array(F.collect_set(F.struct(*HIT_COLUMNS, "deferred"))).alias("all"), F.first("pem").alias("pem"), F.first("line_sample").alias("line_sample"), F.first("discounted").alias("discounted"), F.first("reason").alias("reason"))
     hits = T.bind(F.filter("all", lambda f: f["rule"] >= 0), lambda h: F.when(F.size(h) <= PER_LINE, h).otherwise(F.filter(h, lambda f: F.size(F.filter(h, lambda g: g["rule"] < f["rule"])) < PER_LINE)))
     by_line = by_line.withColumn("hits", keep_best(hits.cast(f"array<{HIT}>")))
     free = F.filter("all", lambda c: (c["rule"] < 0) & ~F.exists("hits", lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"])))
@@ -205,7 +224,7 @@ def detect(files: DataFrame, rules: Iterable[Rule] = RULES, options: Options = O
     by_line = by_line.withColumn("resolved", F.size(F.filter("hits", lambda h: h["deferred"] & F.col("pem")))).withColumn("hits", lasting).drop("all", "pem")
     # The entropy engine stops a line where the file's findings so far come to a multiple of 16.
     row = F.struct("line_no", "hits", "runs", "resolved", "line_sample")
-    per_file = by_line.groupBy("path", *extra).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    per_file = by_line.groupBy(*text).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     def step(acc: Column, r: Column) -> Column:
         now = acc["t"] + F.size(r["hits"]) - r["resolved"]

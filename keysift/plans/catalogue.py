@@ -54,7 +54,7 @@ class Rule:
 
 def _rule(id_: str, what: str, level: str, before: str, secret: str, after: str, keywords: str, tags: str, **more: object) -> Rule:
     severity, confidence = level.split("/")
-    return Rule(id_, what, severity, confidence, before, secret, after, tuple(k.replace("~", " ").strip() for k in keywords.split()), tuple(tags.split()), **more)
+    return Rule(id_, what, severity, confidence, before, secret, after, tuple(k.replace("%", " ").strip() for k in keywords.split()), tuple(tags.split()), **more)
 
 
 def _token(id_: str, what: str, level: str, secret: str, keywords: str, tags: str, open_end: bool = False, **more: object) -> Rule:
@@ -116,12 +116,12 @@ RULES: tuple[Rule, ...] = (
     _rule("authorization-basic-header", "Basic authorization header", "high/medium", _HEADER + r"basic\s+", rf"[{B64}]{{16,}}={{0,2}}", "", "basic", "token auth http", fold=True, entropy=3.5),
     _rule("authorization-bearer-header", "Bearer authorization header", "high/low", _HEADER + r"bearer\s+", rf"[{AN_}.~+/]{{24,}}", "", "bearer", "token auth http", fold=True, entropy=4.0),
     _token("hashicorp-vault-token", "Token of Vault", "critical/high", rf"hv[brs]\.[{AN_}]{{24,}}", "hvs. hvb. hvr.", "vault secrets", open_end=True),
-    _pem("rsa", "RSA ", "begin~rsa~private~key"),
-    _pem("ec", "EC ", "begin~ec~private~key"),
-    _pem("dsa", "DSA ", "begin~dsa~private~key"),
-    _pem("openssh", "OPENSSH ", "begin~openssh~private~key", tags="ssh"),
-    _pem("pgp", "PGP ", "begin~pgp~private~key", " BLOCK", "pgp"),
-    _pem("pkcs8", "(?:ENCRYPTED )?", "begin~private~key begin~encrypted~private~key"),
+    _pem("rsa", "RSA ", "begin%rsa%private%key"),
+    _pem("ec", "EC ", "begin%ec%private%key"),
+    _pem("dsa", "DSA ", "begin%dsa%private%key"),
+    _pem("openssh", "OPENSSH ", "begin%openssh%private%key", tags="ssh"),
+    _pem("pgp", "PGP ", "begin%pgp%private%key", " BLOCK", "pgp"),
+    _pem("pkcs8", "(?:ENCRYPTED )?", "begin%private%key begin%encrypted%private%key"),
     _rule("ssh-passphrase-in-config", "Passphrase of a key in a configuration", "high/medium", rf"\b(?:identity|key|pem|tls|ssl|ssh)[_.\-]?pass(?:phrase)?\s*[:=]\s*[{Q}]?", rf"[^{Q}\s#]{{6,}}", "", "passphrase", "ssh config", fold=True, entropy=2.8),
     _uri("postgres-connection-uri", "Password in a PostgreSQL address", "critical/high", "postgres(?:ql)?", "postgres:// postgresql://"),
     _uri("mysql-connection-uri", "Password in a MySQL address", "critical/high", "(?:mysql|mariadb)", "mysql:// mariadb://"),
@@ -302,3 +302,24 @@ def _choices(arg: list) -> list[str]:
         elif op is rc.CATEGORY:
             out += names.get(x, "")
     return out
+
+
+def as_table(rules: Iterable[Rule]) -> str:
+    """A line per rule under a head, columns aligned, and their number."""
+    rows = [("ID", "SEVERITY", "CONFIDENCE", "VALIDATOR", "ENTROPY", "DESCRIPTION")]
+    rows += [(r.id, r.severity, r.confidence, r.validator or "-", f"{r.entropy:.1f}" if r.entropy else "-", r.description) for r in rules]
+    widths = [max(len(r[i]) for r in rows) for i in range(5)] + [0]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows) + f"\n\n{len(rows) - 1} rules\n"
+
+
+def as_markdown(rules: Iterable[Rule]) -> str:
+    """The rules as a document, in a table for each first tag."""
+    rules = list(rules)
+    groups: dict[str, list[Rule]] = {}
+    for r in rules:
+        groups.setdefault(r.tags[0] if r.tags else "other", []).append(r)
+    out = ["# Rules", "", f"{len(rules)} rules by their first tag. A check is a validator of the secret, or of the line after it."]
+    for tag in sorted(groups):
+        out += ["", f"## {tag}", "", "| Rule | Severity | Confidence | Check | Entropy | What it finds |", "|---|---|---|---|---|---|"]
+        out += [f"| `{r.id}` | {r.severity} | {r.confidence} | {', '.join(f'`{c}`' for c in (r.validator, r.continuation) if c) or '-'} | {f'{r.entropy:.1f}' if r.entropy else '-'} | {r.description} |" for r in groups[tag]]
+    return "\n".join(out) + "\n"
