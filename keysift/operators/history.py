@@ -15,7 +15,7 @@ SNIFF = 512
 
 
 def visited(commits: DataFrame, since: Column | None = None, stop: str | None = None, most: int | None = None) -> DataFrame:
-    """Commits (``hash``, ``committed``) newest first with ``visit``: from ``since`` on, newer than the commit ``stop``, at most ``most``."""
+    """Commits (``hash``, ``committed``), each once: from ``since`` on, newer than the commit ``stop``, the newest ``most``."""
     rows = commits.dropDuplicates(["hash"])
     if since is not None:
         rows = rows.where(F.col("committed") >= since)
@@ -60,5 +60,10 @@ def mark(found: DataFrame, now: DataFrame) -> DataFrame:
     return found.join(still, "secret_hash", "left").withColumn("in_head", F.coalesce("in_head", F.lit(False))).withColumn("fingerprint", T.fingerprint(F.col("rule_id"), site, F.col("secret"))).select(*found.columns, "in_head")
 
 
+def live(findings: DataFrame) -> DataFrame:
+    """Findings whose secret is still in the head."""
+    return findings.where("in_head")
+
+
 def by_date(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc("date"), "path", "line")

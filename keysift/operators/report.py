@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +77,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
+    """A row per finding with its rule's index. Findings are read twice, so give them persisted or from ``plans.once``."""
     least = lambda c: F.greatest(F.col(c), F.lit(1))
     return findings.join(F.broadcast(sarif_rules(findings).select("rule_id", "rule_index")), "rule_id").select(
         "rule_id", "rule_index", sarif_level(F.col("severity")).alias("level"), "path", least("line").alias("line"), least("start_column").alias("start_column"), least("end_column").alias("end_column"), "redacted", "fingerprint", "description"
@@ -115,20 +118,64 @@ def junit(findings: DataFrame) -> str:
     return "<testsuites>" + ("".join(out) or f'<testsuite name="{TOOL}" tests="1" failures="0"><testcase name="no findings" classname="{TOOL}"/></testsuite>') + "</testsuites>"
 
 
-def text(findings: DataFrame, show_secrets: bool = False) -> str:
+@dataclass(frozen=True)
+class Scanned:
+    """What a scan read, for the summary of the text format."""
+
+    files: int | None = None
+    commits: int | None = None
+    seconds: float | None = None
+
+
+COLORS = {"critical": "1;31", "high": "31", "medium": "33", "low": "2", "path": "1;36", "dim": "2", "rule": "34", "secret": "1", "good": "32", "bad": "1;31"}
+
+
+def paint(label: str, kind: str, color: bool) -> str:
+    return f"\x1b[{COLORS[kind]}m{label}\x1b[0m" if color else label
+
+
+def visible(label: str) -> int:
+    """The length of a text without its colours."""
+    return len(re.sub(r"\x1b\[[0-9;]*m", "", label))
+
+
+def pad(label: str, width: int) -> str:
+    return label + " " * max(0, width - visible(label))
+
+
+def plural(n: int, one: str) -> str:
+    return f"{n:d} {one}{'s' * (n != 1)}"
+
+
+def text(findings: DataFrame, show_secrets: bool = False, color: bool = False, verbose: bool = False, scanned: Scanned = Scanned()) -> str:
+    """By file: where, what, how sure; then counts by severity and confidence, and what was read."""
+    scope = ", ".join([*([plural(scanned.commits, "commit")] if scanned.commits else [plural(scanned.files, "file")] if scanned.files is not None else []), *([f"{scanned.seconds:.2f} s"] if scanned.seconds is not None else [])])
     lines, path, n, files = [], None, 0, 0
+    levels, sure = dict.fromkeys(reversed(SEVERITY), 0), dict.fromkeys(reversed(CONFIDENCE), 0)
     for r in findings.orderBy("path", "line", "start_column", "rule_id").toLocalIterator():
-        if r["path"] != path:
+        if not files or r["path"] != path:
             path = r["path"]
             files += 1
-            lines.append(path)
+            lines += ["", paint(str(path), "path", color)]
         n += 1
-        lines += [f"  {r['line']}:{r['start_column']}  {r['severity']:<8}  {r['confidence']:<6}  {r['rule_id']}", f"      {r['secret'] if show_secrets else r['redacted']}"]
+        levels[r["severity"]] += 1
+        sure[r["confidence"]] += 1
+        at = paint(f"{r['line']}:{r['start_column']}", "dim", color)
+        lines.append(f"  {pad(at, 9)}  {pad(paint(r['severity'], r['severity'], color), 8)}  {pad(paint(r['rule_id'], 'rule', color), 32)}  {paint(r['secret'] if show_secrets else r['redacted'], 'secret', color)}")
+        detail = f"{r['description']}; confidence {r['confidence']}, by {'+'.join(r['engines'])}" + ", checksum right" * bool(r["validated"]) + (f", entropy {r['entropy']:.2f}" if r["entropy"] else "")
+        lines.append(" " * 13 + paint(detail, "dim", color))
+        if "commit" in findings.columns and r["commit"]:
+            lines.append(" " * 13 + paint(f"commit {r['commit'][:8]} by {r['author']} on {r['date']}: {'still in the head' if r['in_head'] else 'gone from the head'}", "dim", color))
+        if verbose and r["notes"]:
+            lines.append(" " * 13 + paint("; ".join(r["notes"]), "dim", color))
     if not n:
-        return "No findings.\n"
-    lines.append(f"{n} finding{'s' * (n != 1)} in {files} file{'s' * (files != 1)}")
+        return paint("No findings", "good", color) + (f" ({scope})" if scope else "") + ".\n"
+    counts = ", ".join(f"{k} {paint(s, s, color)}" for s, k in levels.items() if k)
+    lines += ["", f"{paint(plural(n, 'finding'), 'bad', color)} in {plural(files, 'file')}: {counts}; confidence: {', '.join(f'{k} {c}' for c, k in sure.items() if k)}"]
+    if scope:
+        lines.append(paint(f"Scanned: {scope}", "dim", color))
     if show_secrets:
-        lines.append("Warning: secrets are shown in full.")
+        lines.append(paint("Warning: secrets are shown in full; keep this out of logs.", "medium", color))
     return "\n".join(lines) + "\n"
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
 from keysift.operators.allow import Allowlist
@@ -55,3 +55,7 @@ def load(folder: str = ".", path: str | None = None) -> Config:
         entropy=Options(entropy.get("enabled", True), entropy.get("contextual", True), entropy.get("min_length", 20), entropy.get("base64_threshold", 4.5), entropy.get("hex_threshold", 3.0)),
         allowlist=Allowlist(**{k: tuple(v or ()) for k, v in allow.items()}), extra_rules=tuple(parse_rule(r) for r in given.get("extra_rules") or ()), baseline=given.get("baseline"),
     )
+
+
+def replace_size(config: Config, raw: str) -> Config:
+    return replace(config, max_file_size=parse_size(raw))

@@ -56,15 +56,80 @@ def is_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
     return out
 
 
-def tree(spark: SparkSession, root: str, max_size: int = MAX_SIZE, hidden: bool = False, ignore: Iterable[tuple[str, str]] = (), skip: Column | None = None, paths: DataFrame | None = None) -> DataFrame:
-    """``path`` (below ``root``), ``content`` of the files of a tree. Sizes are filtered before contents are read.
-
-    ``paths``: only these, without the hidden and ignore filters. ``skip``: a predicate on ``path``.
-    Spark's own listing leaves out files whose names begin with a dot or underscore, ``.env`` among them.
+#: Bytes of files that one task reads.
+TASK_BYTES = 32 << 20
+
+
+def _local(root: str) -> str | None:
+    """The path of a root on a mounted file system; None for others."""
+    scheme, _, rest = root.partition("://") if "://" in root else ("", "", root)
+    if scheme in ("", "file"):
+        return rest.removeprefix("file:") or "."
+    return None
+
+
+def read_files(listing: DataFrame, root: str, max_size: int, tasks: int) -> DataFrame:
+    """``path``, ``content`` (bytes) of the regular files that ``listing`` (``path``) names below a mounted root, up to a size."""
+
+    def read(batches):
+        import os
+        import stat
+
+        import pyarrow as pa
+
+        for batch in batches:
+            names, found, held = [], [], 0
+            for name in batch.column(0).to_pylist():
+                try:
+                    at = os.lstat(full := os.path.join(root, name))
+                    if not stat.S_ISREG(at.st_mode) or at.st_size > max_size:
+                        continue
+                    with open(full, "rb") as f:
+                        data = f.read()
+                except OSError:
+                    continue
+                names.append(name)
+                found.append(data)
+                held += len(data)
+                if held > TASK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+                    names, found, held = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+
+    return listing.select("path").repartition(tasks).mapInArrow(read, "path string, content binary")
+
+
+def tree(
+    spark: SparkSession, root: str, max_size: int = MAX_SIZE, hidden: bool = False, ignore: Iterable[tuple[str, str]] | None = None, skip: Column | None = None, paths: DataFrame | None = None, respect_ignore: bool = True,
+) -> DataFrame:
+    """``path`` (below ``root``), ``content`` of the files of a tree. Names and sizes are filtered before contents are read.
+
+    The driver walks a mounted root; ``ignore``: (folder, text) of ignore files, else those found in the tree, none with
+    ``respect_ignore`` off. ``paths``: only these, without the walk and its filters. ``skip``: a predicate on ``path``.
+    Roots on other file systems are listed by Spark, which leaves out names that begin with a dot or underscore.
     """
+    from keysift.sources import walk
+
+    most, at = max_size if max_size > 0 else MAX_SIZE, _local(root)
+    if at is None:
+        return _listed_by_spark(spark, root, most, hidden, ignore or (), skip, paths)
+    if paths is not None:
+        listing, tasks = paths.select("path").distinct(), spark.sparkContext.defaultParallelism
+    else:
+        texts = list(ignore) if ignore is not None else walk.ignore_texts(at) if respect_ignore else []
+        found = [(p, n) for p, n in walk.walk(at, hidden, walk.Ignore.of(texts)) if n <= most]
+        listing = spark.createDataFrame(found, "path string, size long")
+        tasks = max(1, -(-sum(n for _, n in found) // TASK_BYTES), min(len(found), spark.sparkContext.defaultParallelism))
+    if skip is not None:
+        listing = listing.where(~skip)
+    return read_files(listing, at, most, tasks).where(~is_binary(F.col("content"))).select("path", valid(F.col("content")).alias("content"))
+
+
+def _listed_by_spark(spark: SparkSession, root: str, max_size: int, hidden: bool, ignore: Iterable[tuple[str, str]], skip: Column | None, paths: DataFrame | None) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.regexp_replace(F.regexp_replace("path", r"\A\w+:/+", "/"), r"\A" + re.escape(str(PurePosixPath("/" + root.split(":", 1)[-1].lstrip("/")))) + "/", "")
-    files = raw.where(F.col("length") <= (max_size if max_size > 0 else MAX_SIZE)).select(at.alias("path"), "content", "length")
+    files = raw.where(F.col("length") <= max_size).select(at.alias("path"), "content", "length")
     if paths is not None:
         files = files.join(paths.select("path").distinct(), "path", "left_semi")
     else:
@@ -74,6 +139,14 @@ def tree(spark: SparkSession, root: str, max_size: int = MAX_SIZE, hidden: bool
     return files.where(~is_binary(F.col("content"))).select("path", valid(F.col("content")).alias("content"))
 
 
+def stdin(spark: SparkSession, data: bytes, name: str = "<stdin>") -> DataFrame:
+    """One text under a name, without checks of size or kind; a line of 1 MiB or more is an error, as nothing would be scanned."""
+    if any(len(x) >= 1 << 20 for x in data.split(b"\n")):
+        raise ValueError(f"{name}: a line is too long")
+    rows = spark.createDataFrame([(name, bytearray(data))], "path string, content binary")
+    return rows.select("path", valid(F.col("content")).alias("content"))
+
+
 def dispositions(files: DataFrame, max_size: int = MAX_SIZE, skip: Column | None = None) -> DataFrame:
     """Counts of a scan: walked, scanned, skipped by reason, bytes scanned."""
     raw = F.encode(F.coalesce("content", F.lit("")), "UTF-8")
@@ -86,5 +159,16 @@ def dispositions(files: DataFrame, max_size: int = MAX_SIZE, skip: Column | None
     )
 
 
+#: Tables of at most this many bytes, by the optimizer's estimate, are spread over all cores.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """A small table in few row groups would be scanned by as few tasks: its rows are dealt out. A larger one stays as it is read."""
+    if int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return texts
+    return texts.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "text")).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
