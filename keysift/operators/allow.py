@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from keysift.functions.text import java
 
-#: Known digests of at most this many are broadcast (about 100 bytes each).
-BROADCAST_ROWS = 100_000
-
-
 def segment_pattern(glob: str) -> str:
     """A shell pattern without ``**`` as a pattern for Java: ``*`` and ``?`` stop at slashes."""
     out, i = [], 0
@@ -82,14 +78,14 @@ class Allowlist:
 
 
 def without(findings: DataFrame, known: DataFrame, column: str) -> DataFrame:
-    """Anti-join on a digest; a known side of checked size is broadcast."""
+    """Anti-join on a digest. Adaptive execution broadcasts the known side if it turns out small; nothing is counted before."""
     known = known.select(column).where(F.col(column).isNotNull()).distinct()
-    small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return findings.join(F.broadcast(known) if small else known, column, "left_anti").select(findings.columns)
+    return findings.join(known, column, "left_anti").select(findings.columns)
 
 
 def apply(findings: DataFrame, allow: Allowlist = Allowlist(), baseline: DataFrame | None = None) -> DataFrame:
-    """Findings that neither the allowlist nor the baseline (``fingerprint``, ``secret_hash``) accepts."""
+    """Findings that neither the allowlist nor the baseline (``fingerprint``, ``secret_hash``) accepts. A baseline made from
+    the same findings reads them again: give both from ``plans.once``."""
     left = findings.where(~allow.allows())
     if baseline is not None:
         left = without(without(left, baseline, "fingerprint"), baseline, "secret_hash")

@@ -11,9 +11,11 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keysift import oracle as O
 from keysift.functions import text as T
 from keysift.operators import allow, detect, history, report
 from keysift.plans.catalogue import RULES, catalogue, example, merge, to_frame
+from keysift.plans.once import once
 from keysift.sources import files
 
 PATHS = ("src/app.go", "docs/guide.md", "tests/unit_test.py", "node_modules/x/index.js", "config.example", "dist/app.min.js", "api/v1.pb.go", "yarn.lock", "latest/config", "myvendor/x.c")
@@ -56,6 +58,18 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(everything(spark, sf_dir))
 
 
+def shown(found: DataFrame) -> DataFrame:
+    """Findings with their lists as texts."""
+    return found.withColumns({c: F.array_join(c, ";" if c == "notes" else ",") for c in ("engines", "tags", "notes")})
+
+
+def found_sql(select: str, files: str | None = None) -> str:
+    return f"WITH {O.findings(files or f'{DOCS_SQL} UNION ALL {planted_sql()}')} {select}"
+
+
+FINDING_SQL = "SELECT * EXCLUDE (id) FROM finding"
+
+
 FILES_SQL = f"files AS ({DOCS_SQL} UNION ALL {planted_sql()})"
 LINES_SQL = r"""arr AS (SELECT path, string_split(coalesce(content, ''), chr(10)) AS a FROM files),
 cut AS (SELECT path, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM arr),
@@ -72,6 +86,7 @@ def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefilter_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detect.scannable(detect.explode_lines(everything(spark, sf_dir)))
+    rows = rows.where(T.gate("low", detect.minimal(k for r in catalogue() for k in r.keywords)))
     return rows.select("path", F.col("line_no").cast("long").alias("line_no"), F.explode(detect.candidates(catalogue())).alias("rule_id"))
 
 
@@ -182,12 +197,12 @@ def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir).drop("engines", "tags", "notes")
+    return shown(findings(spark, sf_dir))
 
 
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.col("html").alias("content"))
-    return detect.detect(pages).drop("engines", "tags", "notes")
+    pages = files.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.col("html").alias("content")))
+    return shown(detect.detect(pages))
 
 
 def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +220,7 @@ FROM ({planted_sql()})"""
 
 
 def baseline_new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = findings(spark, sf_dir)
+    found = once(findings(spark, sf_dir))
     old = found.where("crc32(path) % 2 = 0")
     return allow.apply(found, baseline=old).select("path", "line", "rule_id", "fingerprint", "secret_hash")
 
@@ -244,7 +259,23 @@ def history_in_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = sites.unionByName(rows.select(F.col("blob_hash").alias("commit"), "path", "blob_hash"))
     blobs = c.select(blob.alias("blob_hash"), F.col("text").alias("content")).unionByName(rows.select("blob_hash", "content")).dropDuplicates(["blob_hash"])
     head = c.where("crc32(cast(conv_id as string)) % 2 = 0").select(F.concat_ws("/", "conv_id", "turn", "role").alias("path"), blob.alias("blob_hash")).unionByName(rows.where("crc32(path) % 2 = 0").select("path", "blob_hash")).dropDuplicates(["blob_hash"])
-    return history.scan(commits, changes, blobs, head).drop("engines", "tags", "notes")
+    return shown(history.scan(commits, changes, blobs, head))
+
+
+def history_in_head_sql() -> str:
+    """Conversation texts and planted texts as blobs; findings of each at its first site, marked by the head's secrets."""
+    p = f"({planted_sql()})"
+    even = O.crc32("path")
+    sites = f"""SELECT sha256(text) AS blob, conv_id || '-' || turn AS hash, role AS path, turn::BIGINT AS committed, text AS content FROM conversations
+    UNION ALL SELECT sha256(path || chr(0) || content), sha256(path || chr(0) || content), path, {even}, content FROM {p}"""
+    first = f"SELECT * FROM ({sites}) QUALIFY row_number() OVER (PARTITION BY blob ORDER BY committed, hash DESC, path) = 1"
+    now = f"""SELECT path, content FROM (SELECT conv_id || '/' || turn || '/' || role AS path, text AS content FROM conversations WHERE {O.crc32("conv_id::VARCHAR")} % 2 = 0 UNION ALL SELECT path, content FROM {p} WHERE {even} % 2 = 0)"""
+    found = O.findings(f"SELECT path, content FROM ({first})", header_lines=None, head=history.SNIFF)
+    return f"""WITH site AS ({first}), still AS (WITH {O.findings(now, header_lines=None, head=history.SNIFF)} SELECT DISTINCT secret_hash FROM finding),
+    past AS (WITH {found} SELECT finding.*, named.content FROM finding JOIN named ON finding.id = named.id)
+    SELECT past.* EXCLUDE (id, content, fingerprint), {O.fingerprint("rule_id", "past.path || '@' || left(hash, 12)", "secret")} AS fingerprint, hash AS "commit", 'A' AS author, 'a@b' AS author_email,
+    strftime(to_timestamp(committed) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS date, past.secret_hash IN (SELECT secret_hash FROM still) AS in_head
+    FROM past JOIN site ON site.path = past.path AND site.content = past.content"""
 
 
 def summary_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +287,7 @@ def by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.sarif_results(findings(spark, sf_dir))
+    return report.sarif_results(once(findings(spark, sf_dir)))
 
 
 def jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,8 +337,64 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
+ALLOWED_SQL = r"regexp_matches(path, '^docs(/.*)?$') OR regexp_matches(path, '(^|/)[^/]*\.min\.js$') OR regexp_matches(path, '^values(/.*)?$') OR regexp_matches(path, 'yarn\.lock$') OR rule_id = 'jwt'"
+LEVEL_SQL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END"
+SEVERITY_SQL = "(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)"
+SUMMARY_SQL = f"""SELECT 'severity' AS kind, severity AS label, {SEVERITY_SQL} AS rank, count(*) AS n FROM finding GROUP BY severity
+UNION ALL SELECT 'confidence', confidence, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END, count(*) FROM finding GROUP BY confidence"""
+BASELINE_ROWS_SQL = """SELECT fingerprint, path, line, rule_id, redacted, confidence, secret_hash FROM finding
+QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY path, line, start_column, rule_id, redacted, confidence, secret_hash) = 1"""
+JUNIT_SQL = """SELECT path, count(*) AS failures, to_json(list({'line': line, 'start_column': start_column, 'rule_id': rule_id, 'severity': severity, 'redacted': redacted, 'description': description}
+ORDER BY line, start_column, rule_id, severity, redacted, description))::VARCHAR AS cases FROM finding GROUP BY path"""
+
+
+def baseline_new_sql() -> str:
+    old = f"SELECT * FROM finding WHERE {O.crc32('path')} % 2 = 0"
+    return found_sql(f", old AS ({old}) SELECT path, line, rule_id, fingerprint, secret_hash FROM finding WHERE fingerprint NOT IN (SELECT fingerprint FROM old) AND secret_hash NOT IN (SELECT secret_hash FROM old)")
+
+
+def jsonl_sql() -> str:
+    """Objects built field by field: what is empty is left out."""
+    field = lambda c, x=None, when="true": f"CASE WHEN {when} THEN ',\"{c}\":' || to_json({x or c}) ELSE '' END"
+    array = lambda c, sep: field(c, f"string_split({c}, '{sep}')", f"{c} <> ''")
+    plain = ("rule_id", "description", "severity", "confidence", "path", "line", "start_column", "end_column", "validated", "fingerprint", "secret_hash")
+    swapped = "list_reduce(list_concat([{'secret': line_sample, 'redacted': ''}], pairs), lambda a, p: {'secret': replace(a.secret, p.secret, p.redacted), 'redacted': ''}).secret"
+    parts = [f"'{{\"schema\":\"{report.SCHEMA}\",\"tool\":\"{report.TOOL}\"'", *map(field, plain), array("engines", ","), array("tags", ","), array("notes", ";"), field("entropy", None, "entropy <> 0"), field("validator", None, "validator <> ''"), field("line_sample", swapped), field("secret", "redacted"), "'}'"]
+    text = " || ".join(parts)
+    for c, code in (("<", "003c"), (">", "003e"), ("&", "0026")):
+        text = f"replace({text}, '{c}', '\\u{code}')"
+    lists = "list_transform(list_distinct(list({'n': length(secret), 'secret': secret, 'redacted': redacted}) OVER (PARTITION BY path, line)), lambda x: x)"
+    return found_sql(f", paired AS (SELECT *, list_transform(list_reverse_sort({lists}), lambda x: {{'secret': x.secret, 'redacted': x.redacted}}) AS pairs FROM finding) SELECT {text} AS value FROM paired")
+
+
+def validators_sql() -> str:
+    columns = ", ".join(f"{f('secret')} AS {k.replace('-', '_')}" for k, f in O.VALIDATORS.items())
+    return found_sql(f", given AS (SELECT DISTINCT g3[i] AS secret FROM pat) SELECT secret, {columns} FROM given")
+
+
+def path_context_sql() -> str:
+    flags = O.path_flags("path")
+    why = O.reason(flags)
+    columns = ", ".join(f"{v} AS {k}" for k, v in flags.items())
+    return f"WITH p AS (SELECT path FROM ({planted_sql()}) UNION ALL SELECT url FROM pages) SELECT path, {columns}, ({why}) <> '' AS discounted, {why} AS reason FROM p"
+
+
 def sql() -> dict[str, str]:
     return {
+        "scan_documents": found_sql(FINDING_SQL),
+        "scan_pages": found_sql(FINDING_SQL, "SELECT url AS path, html AS content FROM pages"),
+        "allowlist": found_sql(f"SELECT path, line, rule_id, fingerprint FROM finding WHERE NOT ({ALLOWED_SQL})"),
+        "baseline_new_findings": baseline_new_sql(),
+        "baseline_rows": found_sql(BASELINE_ROWS_SQL),
+        "history_in_head": history_in_head_sql(),
+        "summary_grouping_sets": found_sql(SUMMARY_SQL),
+        "by_file": found_sql(f"SELECT path, count(*) AS n, max({SEVERITY_SQL})::INTEGER AS worst FROM finding GROUP BY path"),
+        "sarif_results": found_sql(f"SELECT rule_id, (dense_rank() OVER (ORDER BY rule_id) - 1)::INTEGER AS rule_index, {LEVEL_SQL} AS level, path, greatest(line, 1) AS line, greatest(start_column, 1) AS start_column, greatest(end_column, 1) AS end_column, redacted, fingerprint, description FROM finding"),
+        "jsonl": jsonl_sql(),
+        "junit_suites": found_sql(JUNIT_SQL),
+        "fail_on_status": found_sql(f"SELECT CASE WHEN coalesce(max({SEVERITY_SQL}), 0) >= 4 THEN 1 ELSE 0 END AS status FROM finding"),
+        "validators": validators_sql(),
+        "path_context": path_context_sql(),
         "lines_explode": f"WITH {FILES_SQL}, {LINES_SQL} SELECT path, line_no, sha256(line) AS line, strlen(prev) AS prev_bytes, coalesce(strlen(next), -1) AS next_bytes FROM l",
         "prefilter_candidates": f"WITH {FILES_SQL}, {LINES_SQL}, k(rule_id, ks) AS (VALUES " + ", ".join(f"({sql_text(r.id)}, [{', '.join(map(sql_text, r.keywords))}])" for r in catalogue())
         + f") SELECT path, line_no, rule_id FROM l, k WHERE strlen(line) BETWEEN 1 AND 16384 AND list_bool_or(list_transform(ks, lambda w: contains({LOW_SQL.format('line')}, w)))",
