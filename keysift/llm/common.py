@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='keysift-')}"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/keysift-{uuid.uuid4().hex}"

@@ -1,7 +1,7 @@
 """Quality rules by host: failures counted per domain, rates shrunk with an empirical beta prior, verdicts joined back.
 
-All in DataFrame functions. One narrow pass turns each text into a row of numbers; only those rows are
-shuffled. Counts per host are partial sums, so that a host with a third of all rows costs no more than
+All in DataFrame functions. One narrow pass turns each text into a row of numbers, which is written once; only
+those rows are shuffled. Counts per host are partial sums, so that a host with a third of all rows costs no more than
 another; the join back is on the host with one row per host on the small side.
 
 A host's rate is that of its documents failing any rule. The prior's mean and strength come from the hosts'
@@ -10,8 +10,9 @@ is over ``HOST_LIMIT``: a few bad documents never condemn a host, and clean docu
 
 A window of five words counts as repeated if its 64-bit digest occurs again in the text.
 
-Defined results: null text has no words and fails; a null host is a host of its own; repeated rows are judged
-and counted each; an empty table gives no row; other columns don't matter.
+Defined results: null text has no words and fails; a null host is a host of its own; a null doc_id and repeated rows are
+judged and counted each; ties don't arise, as every row has its own verdict; texts of any length are counted whole; an
+empty table gives no row; other columns don't matter, whatever their names, and ``keep_good`` gives them back.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.common import SPACE, let
+from keysift.llm.common import SPACE, let, shared_dir, written
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -27,6 +28,8 @@ SYMBOL_PERCENT = 10
 DUP_LINE_PERCENT = 50
 WINDOW = 5
 HOST_LIMIT = 0.5
+#: Hosts of at most this number are broadcast (about 50 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 RULES = ("few_words", "repeats", "symbols", "dup_lines")
 
 
@@ -60,7 +63,7 @@ def text_numbers(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts of the contract and drops the text."""
     t = F.coalesce(F.col(text), F.lit(""))
     split = F.filter(F.split(t, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     words = let(
         split,
         lambda w: F.struct(
@@ -80,10 +83,19 @@ def _let_digests(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), _repeat_words)
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """Per document its numbers, ``base_failed``, each rule, the host's shrunk rate and ``kept``."""
+def judge(docs: DataFrame, host: str = "source", text: str = "text", folder: str | None = None) -> DataFrame:
+    """Per document its numbers, ``base_failed``, each rule, the host's shrunk rate and ``kept``. The numbers are written to ``folder``."""
     rows = _failures(docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text")))
-    return rows.join(_hosts(rows), F.expr("host <=> of_host")).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("of_host")
+    folder = folder or shared_dir(docs.sparkSession)
+    rows = written(rows, folder, "numbers")
+    hosts = _spread(_hosts(rows), folder)
+    return rows.join(hosts, F.expr("host <=> of_host")).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("of_host")
+
+
+def _spread(hosts: DataFrame, folder: str) -> DataFrame:
+    """Verdicts by host, broadcast if their checked number allows: a host with a third of all rows then stays where it is."""
+    hosts = written(hosts, folder, "hosts")
+    return F.broadcast(hosts) if hosts.count() <= BROADCAST_ROWS else hosts
 
 
 def _failures(docs: DataFrame) -> DataFrame:
@@ -118,11 +130,13 @@ def host_rates(hosts: DataFrame) -> DataFrame:
     return both.drop("a", "b").withColumnRenamed("host", "of_host")
 
 
-def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that are kept, with their columns. Each row has its own verdict and is carried along with it, so
-    that null and repeated ids don't matter."""
+def keep_good(docs: DataFrame, host: str = "source", folder: str | None = None) -> DataFrame:
+    """The documents that are kept, with their columns. Each row has its own verdict and is written along with it, so that
+    null and repeated ids don't matter and no text is looked at twice or shuffled."""
     rows = _failures(docs.select(F.struct(*docs.columns).alias("__row"), F.col(host).alias("host"), "text"))
-    bad = _hosts(_failures(docs.select(F.col(host).alias("host"), "text"))).where("host_failed").select("of_host")
+    folder = folder or shared_dir(docs.sparkSession)
+    rows = written(rows, folder, "judged")
+    bad = _spread(_hosts(rows).where("host_failed").select("of_host"), folder)
     return rows.where(~F.col("base_failed")).join(bad, F.expr("host <=> of_host"), "left_anti").select("__row.*")
 
 
