@@ -54,6 +54,8 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
 
 def write_archives(pages: DataFrame, folder: str, payload: str = "html", compress: bool = True) -> DataFrame:
     """Writes ``page_id``, ``url`` and the payload column as archives below ``folder``; returns (path, size) per file."""
+    system, inner = open_fs(folder)
+    system.create_dir(inner, recursive=True)
     rows = pages.select("page_id", "url", F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("body")).withColumn("sha", F.sha1("body"))
     shared = written(rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), f"{folder}-plan", "shared")
     if shared.count() <= BROADCAST_ROWS:
@@ -69,7 +71,7 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", compres
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/{uuid.uuid4().hex}.warc{'.gz' * compress}"
-        system, path = open_fs(name)
+        files, path = open_fs(name)
         out, size = None, 0
         for batch in batches:
             for page, url, sha, n, body, refers in zip(*(x.to_pylist() for x in batch.columns)):
@@ -78,7 +80,7 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", compres
                 if compress:
                     z = zlib.compressobj(6, zlib.DEFLATED, 31)
                     data = z.compress(data) + z.flush()
-                out = out or system.open_output_stream(path, compression=None)
+                out = out or files.open_output_stream(path, compression=None)
                 out.write(data)
                 size += len(data)
         if out:
@@ -249,7 +251,6 @@ def read_archives(files: DataFrame, folder: str, compress: bool = True, size: in
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    open_fs(folder)[0].create_dir(open_fs(f"{folder}/warc")[1], recursive=True)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     files = write_archives(pages, f"{folder}/warc")
     return read_archives(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
