@@ -17,9 +17,12 @@ five words, and of the answer's, ``OVERLAP`` must be there. The question is the
 sentence end, the answer the rest; where the rest has no word the question alone decides. A part of fewer than
 five words is one shingle of its own length. Words are lower-cased runs of letters and digits.
 
+Words and shingles are known by 64-bit digests.
+
 Defined results: null or blank texts match nothing; blank items are never matched, items that repeat are
-each matched; rows with a null doc_id are reported with it; repeated rows are each reported; an empty table or
-benchmark gives no row.
+each matched; rows with a null doc_id are reported with it; repeated rows are each reported; of passages with equal
+scores the first that passes counts; texts of any length are searched whole, passage by passage; an empty table or
+benchmark gives no row; other columns don't matter, whatever their names, and ``drop_contaminated`` gives them back.
 """
 
 from __future__ import annotations
@@ -174,34 +177,56 @@ def build_index(benchmark: DataFrame, folder: str) -> str:
     return f"{folder}/index.bin"
 
 
+def _groups(lists: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows with about BATCH words at most: first and last row, words, and where rows start."""
+    flat, offsets, a = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64), 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BATCH, "right")) - 1)
+        yield a, b, flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
+
+
+def _open_index(path: str) -> Index:
+    system, inner = open_fs(path)
+    with system.open_input_stream(inner, compression=None) as f:
+        return pickle.loads(f.read())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, folder: str) -> DataFrame:
     """``doc_id``, ``item_id``, ``score`` (share of the item's own), ``question_overlap``, ``answer_overlap``."""
     path = build_index(benchmark, folder)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, inner = open_fs(path)
-        with system.open_input_stream(inner, compression=None) as f:
-            index = pickle.loads(f.read())
+        index = _open_index(path)
         for batch in batches:
-            column = batch.column(1)
-            flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().astype(np.int64)
-            ids, a = batch.column(0).to_pylist(), 0
-            while a < len(ids):
-                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BATCH, "right")) - 1)
-                rows = [(ids[a + d], *m) for d, *m in index.matches(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+            ids = batch.column(0).to_pylist()
+            for a, _, flat, offsets in _groups(batch.column(1)):
+                rows = [(ids[a + d], *m) for d, *m in index.matches(flat, offsets)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                a = b
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_digests(F.col("text")).alias("w"))
     return hashed.mapInArrow(work, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, folder: str) -> DataFrame:
-    """The documents without a match; rows that share an id go together, those without an id stay."""
-    gone = contaminated(docs, benchmark, folder).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, keep_unnamed: bool = True) -> DataFrame:
+    """The documents without a match, and those without an id where ``keep_unnamed``. Each row is judged by its own text and
+    passed on or not where it is read, so that repeated ids don't matter and nothing is shuffled."""
+    path, words = build_index(benchmark, folder), "".join(docs.columns) + "_words"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _open_index(path)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for a, _, flat, offsets in _groups(batch.column(batch.num_columns - 1)):
+                clean[[a + d for d, *_ in index.matches(flat, offsets)]] = False
+            if keep_unnamed:
+                clean |= batch.column(ids).is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(clean))
+
+    ids = docs.columns.index("doc_id")
+    return docs.select(*docs.columns, word_digests(F.col("text")).alias(words)).mapInArrow(work, docs.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
