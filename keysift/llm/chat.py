@@ -15,7 +15,8 @@ memory; with edits, one conversation's final messages are held. Output rows are
 ``PART`` characters; together, in order of ``part``, they are the conversation's text.
 
 Defined results: null texts and roles count as empty; equal sequence numbers sort by role, then text; repeated
-rows are messages each; rows whose conversation is null form one conversation; no rows, no conversation.
+rows are messages each; rows whose conversation is null form one conversation; texts of any length are rendered whole, in parts; no rows, no
+conversation; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,14 +14,16 @@ Scoring: pairs of a chunk are sorted, so that a shard is visited once; a word's
 its number relative to its context. Maps are shared by all tasks of a machine; none holds the model.
 
 Words are known by 64-bit digests. Defined results: null texts are empty, and have the end token alone; a null
-doc_id trains; repeated rows count as often as they are there; without training texts all tokens are unknown
-and N = V = 0; an empty table gives no row.
+doc_id trains; repeated rows count as often as they are there; ties don't arise; texts of any length are counted and
+scored whole; without training texts all tokens are unknown and N = V = 0; an empty table gives no row; other columns
+don't matter, whatever their names. Files are mapped where the shared folder is mounted, else read; a task keeps ``OPEN``
+of a kind at a time.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -37,6 +39,8 @@ D = 0.75
 SHARD = 2_000_000
 PIECE = 1_000_000
 CHUNK = 400_000
+#: Files that a task keeps open at a time.
+OPEN = 64
 #: 16-bit codes of log10 values from 0 down to -16.
 STEP = 16 / 65535
 NONE = np.uint32(0xFFFFFFFF)
@@ -62,6 +66,22 @@ def load(uri: str) -> dict[str, np.ndarray]:
     return {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (kind, size, at) in head.items()}
 
 
+class Opened:
+    """Files of arrays by name, opened when first asked for; the last ``OPEN`` stay so."""
+
+    def __init__(self, make: Callable[[str], object] = load, most: int | None = None) -> None:
+        self.make, self.most, self.held = make, most or OPEN, {}
+
+    def __getitem__(self, uri: str) -> object:
+        found = self.held.pop(uri, None)
+        if found is None:
+            found = self.make(uri)
+            if len(self.held) >= self.most:
+                del self.held[next(iter(self.held))]
+        self.held[uri] = found
+        return found
+
+
 def quantise(p: np.ndarray) -> np.ndarray:
     """Code 65535 is zero probability."""
     with np.errstate(divide="ignore"):
@@ -89,18 +109,20 @@ class Vocabulary:
         self.folder, self.bits = folder, len(pieces).bit_length() - 1
         self.starts = np.concatenate(([0], np.cumsum([n for _, n in pieces]))).astype(np.int64)
         self.size, self.total = int(self.starts[-1]), sum(c for c, _ in pieces)
-        self.pieces = [load(f"{folder}/words-{i}") if n else None for i, (_, n) in enumerate(pieces)]
+        self.names = [f"{folder}/words-{i}" if n else None for i, (_, n) in enumerate(pieces)]
+        self.files = Opened()
 
     def find(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (``size`` where unknown) and counts."""
         distinct, back = np.unique(digests, return_inverse=True)
         ids, counts = np.full(len(distinct), self.size, np.int64), np.zeros(len(distinct), np.int64)
         piece = (distinct >> (64 - self.bits)) + (1 << self.bits >> 1) if self.bits else np.zeros(len(distinct), np.int64)
-        cuts = np.searchsorted(piece, np.arange(len(self.pieces) + 1))
-        for i, p in enumerate(self.pieces):
+        cuts = np.searchsorted(piece, np.arange(len(self.names) + 1))
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
             part = distinct[cuts[i] : cuts[i + 1]]
-            if p is None or not len(part):
+            if self.names[i] is None:
                 continue
+            p = self.files[self.names[i]]
             at = np.minimum(np.searchsorted(p["digest"], part), len(p["digest"]) - 1)
             hit = p["digest"][at] == part
             ids[cuts[i] : cuts[i + 1]][hit] = at[hit] + self.starts[i]
@@ -235,9 +257,9 @@ def trie(key: np.ndarray, third: np.ndarray, n: np.ndarray, vocabulary: Vocabula
 def counts_of(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ids), np.int64)
     cuts = np.searchsorted(ids, vocabulary.starts)
-    for i, p in enumerate(vocabulary.pieces):
-        if p is not None:
-            out[cuts[i] : cuts[i + 1]] = p["count"][ids[cuts[i] : cuts[i + 1]] - vocabulary.starts[i]]
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        if vocabulary.names[i] is not None:
+            out[cuts[i] : cuts[i + 1]] = vocabulary.files[vocabulary.names[i]]["count"][ids[cuts[i] : cuts[i + 1]] - vocabulary.starts[i]]
     return out
 
 
@@ -257,14 +279,10 @@ class Model:
     def __init__(self, folder: str, pieces: list[tuple[int, int]], bounds: np.ndarray, present: frozenset[int]) -> None:
         self.folder, self.bounds, self.present = folder, bounds, present
         self.vocabulary = Vocabulary(folder, pieces)
-        self.open: dict[int, Shard] = {}
+        self.open = Opened(Shard)
 
     def shard(self, s: int) -> Shard | None:
-        if s not in self.present:
-            return None
-        if s not in self.open:
-            self.open[s] = Shard(f"{self.folder}/trie-{s}")
-        return self.open[s]
+        return self.open[f"{self.folder}/trie-{s}"] if s in self.present else None
 
     @cached_property
     def split_roots(self) -> dict[int, int]:

@@ -17,7 +17,8 @@ piece sizes comes to the driver. Each step is a narrow pass over the texts and a
 partial sums. Windows and extents are compared by 64-bit digests of two polynomials.
 
 Defined results: null and empty texts have no bytes and keep none; texts under 200 bytes lose nothing; rows with
-a null doc_id take part; repeated rows repeat each other; an empty table gives no row.
+a null doc_id take part; repeated rows repeat each other; ties go to the leftmost; texts of any length are treated whole,
+in overlapping parts; an empty table gives no row; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.llm.common import shared_dir, written
-from keysift.llm.lm_score import load, save
+from keysift.llm.lm_score import Opened, save
 
 LENGTH, GRAM = 200, 64
 #: Bytes of a buffer; longer texts go through in overlapping parts. A place in it fits 20 bits.
@@ -137,15 +138,17 @@ class DigestSet:
 
     def __init__(self, folder: str, name: str, sizes: list[int]) -> None:
         self.bits = len(sizes).bit_length() - 1
-        self.pieces = [load(f"{folder}/{name}-{i}")["digest"] if n else None for i, n in enumerate(sizes)]
+        self.names = [f"{folder}/{name}-{i}" if n else None for i, n in enumerate(sizes)]
+        self.files = Opened()
 
     def has(self, digests: np.ndarray) -> np.ndarray:
         order = np.argsort(digests)
         values, out = digests[order], np.zeros(len(digests), bool)
-        cuts = np.searchsorted(values >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(values), np.uint64), np.arange(len(self.pieces) + 1, dtype=np.uint64))
-        for i, p in enumerate(self.pieces):
+        cuts = np.searchsorted(values >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(values), np.uint64), np.arange(len(self.names) + 1, dtype=np.uint64))
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
             part = values[cuts[i] : cuts[i + 1]]
-            if p is not None and len(part):
+            if self.names[i] is not None:
+                p = self.files[self.names[i]]["digest"]
                 out[order[cuts[i] : cuts[i + 1]]] = p[np.minimum(np.searchsorted(p, part), len(p) - 1)] == part
         return out
 
@@ -212,6 +215,7 @@ def find_repeats(docs: DataFrame, folder: str) -> DataFrame:
     open_set = write_set(found.join(repeated, "e", "left_anti").select("g").distinct(), folder, "open")
 
     def windows() -> Step:
+        # ``done`` holds extents of this task's own texts, so its input bounds it.
         unsettled, settled, done = DigestSet(*open_set), DigestSet(*extent_set), set()
 
         def step(b: Buffer) -> list[np.ndarray]:

@@ -7,7 +7,8 @@ The array has one key per rule, so its size is the rule list's; probes per URL a
 
 Defined results: a null or empty URL, or one without ``://``, has empty host and path and gets the default
 verdict; repeated rows are judged each by itself; further columns pass through unless they clash with a result
-column, which then takes the name; an empty table gives an empty result; an empty rule list the default.
+column, which then takes the name; URLs of any length are judged whole; ties of length go by host, then to the block; an
+empty table gives an empty result; an empty rule list the default.
 """
 
 from __future__ import annotations
@@ -116,15 +117,16 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default:
     spark = df.sparkSession
     folder = build_digest(rules, shared_dir(spark), digest)
     keep = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    source = df.select(*[df[c] for c in keep], df[url].alias("__url"))
-    schema = source.drop("__url").schema
+    asked = "".join(keep) + "_url"  # a name that no column has
+    source = df.select(*[df[c] for c in keep], df[url].alias(asked))
+    schema = source.drop(asked).schema
     for c in ("host", "path", "rule", "verdict"):
         schema = schema.add(c, "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = DigestRules(folder, default, digest)
         for batch in batches:
-            at = batch.schema.get_field_index("__url")
+            at = batch.num_columns - 1
             new = table.judge(batch.column(at).to_pylist())
             columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
             names = [n for i, n in enumerate(batch.schema.names) if i != at]
