@@ -98,6 +98,11 @@ def baseline_rows(findings: DataFrame) -> DataFrame:
     return findings.groupBy("fingerprint").agg(F.min(F.struct(*columns)).alias("f")).select("fingerprint", "f.*").drop("start_column")
 
 
+def secret_hashes(findings: DataFrame) -> DataFrame:
+    """The digests of all secrets found, each once."""
+    return findings.select("secret_hash").distinct()
+
+
 def write_baseline(findings: DataFrame, path: str, generated_at: str, tool: str = "keysift") -> None:
     """One JSON document on the driver: a baseline is what people have reviewed, and never holds a secret."""
     rows = [r.asDict() for r in baseline_rows(findings).orderBy("path", "line", "fingerprint").toLocalIterator()]

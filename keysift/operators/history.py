@@ -34,6 +34,13 @@ def blob_sites(commits: DataFrame, changes: DataFrame) -> DataFrame:
     return sites.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
+def counts(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: distinct commits, and distinct blobs that their changes bring."""
+    blobs = changes.withColumnRenamed("commit", "hash").join(commits.select("hash").distinct(), "hash", "left_semi").agg(F.count_distinct("blob_hash").alias("blobs"))
+    # One row each.
+    return commits.agg(F.count_distinct("hash").alias("commits")).join(F.broadcast(blobs))
+
+
 def texts(blobs: DataFrame, max_size: int = 1 << 20) -> DataFrame:
     """``content`` of blobs within the size that show no NUL in their head."""
     raw = F.col("content").cast("binary")

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keysift import oracle as O
 from keysift.functions import text as T
 from keysift.operators import allow, detect, history, report
-from keysift.plans.catalogue import RULES, catalogue, example, merge, to_frame
-from keysift.plans.once import once
+from keysift.plans.catalogue import RULES, catalogue, example, merge, select, to_frame
+from keysift.plans.once import once, shared
 from keysift.sources import files
+from keysift.streaming.stream import scan_stream
 
 PATHS = ("src/app.go", "docs/guide.md", "tests/unit_test.py", "node_modules/x/index.js", "config.example", "dist/app.min.js", "api/v1.pb.go", "yarn.lock", "latest/config", "myvendor/x.c")
 BODY = "MIIEpAIBAAKCAQEAq8Zr" + "Zk3v9Qp1" * 5
@@ -330,10 +331,198 @@ STATS_SQL = """WITH f AS (SELECT strlen(text) AS size, CASE WHEN source = 'src3'
 SELECT count(*) AS walked, count(*) FILTER (s = 'scanned') AS scanned, count(*) FILTER (s <> 'scanned') AS skipped, count(*) FILTER (s = 'binary') AS "binary", count(*) FILTER (s = 'too_big') AS too_big,
 count(*) FILTER (s = 'ignored') AS ignored, coalesce(sum(size) FILTER (s = 'scanned'), 0)::BIGINT AS bytes FROM f"""
 
+#: Paths of a tree, and what its ignore files say.
+TREE_PATHS = (".env", ".env.local", "a/.npmrc", ".dull", "a/.hide/x.go", ".git/config", "a/.svn/x", "out/y.go", "out/keep.go", "sub/z.log", "sub/deep/z.log", "z.log", "x.tmp", "node/x.go", "a/node/x.go", "doc/a/b.txt", "doc/b.txt")
+TREE_IGNORES = (("", "out/*\n!out/keep.go\n# note\n*.tmp\n/node\ndoc/**/b.txt"), ("sub", "*.log\n!deep/z.log"))
+
+
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a walk shows and what ignore files hide, of a tree's paths and of all pages' addresses."""
+    paths = spark.createDataFrame([(p,) for p in TREE_PATHS], "path string").unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path")))
+    return paths.select("path", files.shown(F.col("path")).alias("shown"), files.shown(F.col("path"), hidden=True).alias("shown_hidden"), files.is_ignored(F.col("path"), files.ignore_rules(TREE_IGNORES)).alias("ignored"))
+
+
+def tree_paths_sql() -> str:
+    rows = ", ".join(f"({sql_text(p)})" for p in TREE_PATHS)
+    control = r"regexp_matches(path, '(^|/)\.(git|hg|svn|bzr)/')"
+    base = r"regexp_extract(path, '[^/]*$')"
+    dull = rf"(starts_with({base}, '.') AND NOT (starts_with({base}, '.env') OR {base} IN ('.npmrc', '.pypirc', '.netrc', '.dockercfg', '.htpasswd', '.pgpass', '.my.cnf')))"
+    marks = [(r"^out/[^/]*(/.*)?$", 1), (r"^out/keep\.go(/.*)?$", 0), (r"(^|/)[^/]*\.tmp(/.*)?$", 1), (r"^node(/.*)?$", 1), (r"^doc/(.*/)?b\.txt(/.*)?$", 1), (r"^sub/(.*/)?[^/]*\.log(/.*)?$", 1), (r"^sub/deep/z\.log(/.*)?$", 0)]
+    ignored = "CASE " + " ".join(f"WHEN regexp_matches(path, '{p}') THEN {str(bool(v)).lower()}" for p, v in reversed(marks)) + " ELSE false END"
+    return rf"WITH p AS (SELECT * FROM (VALUES {rows}) AS t(path) UNION ALL SELECT url FROM pages) SELECT path, NOT {control} AND NOT regexp_matches(path, '(^|/)\.[^/]+/') AND NOT {dull} AS shown, NOT {control} AS shown_hidden, {ignored} AS ignored FROM p"
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs in the head of a text: a generated-code banner in its first three lines or 512 bytes, a NUL in 8 KiB or 512 bytes."""
+    odd = [("h1", "// Code generated by x. DO NOT EDIT.\n"), ("h2", "a\nb\nc\n@generated"), ("h3", "a\nb\n# AUTOGENERATED\n"), ("n1", "a\0b"), ("n2", "x" * 600 + "\0"), ("n3", "x" * 9000 + "\0"), ("n4", "")]
+    rows = everything(spark, sf_dir).unionByName(spark.createDataFrame(odd, "path string, content string"))
+    raw = F.encode(F.coalesce("content", F.lit("")), "UTF-8")
+    tree, blob = (detect.file_context(rows.select("path", "content"), n, size) for n, size in ((3, 8192), (None, history.SNIFF)))
+    both = tree.select("path", F.xxhash64("content").alias("k"), (F.col("reason") == "generated file").alias("tree_generated"), files.is_binary(raw).alias("tree_binary"), files.is_binary(raw, history.SNIFF).alias("blob_binary"))
+    blob = blob.select(F.col("path").alias("p"), F.xxhash64("content").alias("q"), (F.col("reason") == "generated file").alias("blob_generated"))
+    return both.join(blob.distinct(), (F.col("path") == F.col("p")) & F.col("k").eqNullSafe(F.col("q"))).select("path", "tree_generated", "blob_generated", "tree_binary", "blob_binary")
+
+
+def headers_sql() -> str:
+    odd = """SELECT * FROM (VALUES ('h1', '// Code generated by x. DO NOT EDIT.' || chr(10)), ('h2', 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || '@generated'), ('h3', 'a' || chr(10) || 'b' || chr(10) || '# AUTOGENERATED' || chr(10)),
+    ('n1', 'a' || chr(0) || 'b'), ('n2', repeat('x', 600) || chr(0)), ('n3', repeat('x', 9000) || chr(0)), ('n4', '')) AS t(path, content)"""
+    banner = f"regexp_matches(lower({{}}), '{T.BANNERS}')"
+    flags = O.path_flags("path")
+    three = "list_aggregate(string_split(left(coalesce(content, ''), 8192), chr(10))[1:3], 'string_agg', chr(10))"
+    sign = lambda head: O.reason(flags | {"is_generated": f"({flags['is_generated']} OR {banner.format(head)})"}) + " = 'generated file'"
+    return f"""SELECT path, {sign(three)} AS tree_generated, {sign("left(coalesce(content, ''), 512)")} AS blob_generated, contains(left(coalesce(content, ''), 8192), chr(0)) AS tree_binary, contains(left(coalesce(content, ''), 512), chr(0)) AS blob_binary
+    FROM ({DOCS_SQL} UNION ALL {planted_sql()} UNION ALL {odd})"""
+
+
+def explicit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose path is in a list, here that of the pages' and the planted texts'."""
+    wanted = planted(spark).select("path").unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path")))
+    return everything(spark, sf_dir).join(wanted.distinct(), "path", "left_semi").select("path", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left after the two bounds: a line of 1 MiB ends its text, one over 16 KiB or empty is passed by."""
+    sizes = [("l1", 16384), ("l2", 16385), ("l3", (1 << 20) - 1), ("l4", 1 << 20), ("l5", 0)]
+    odd = spark.createDataFrame(sizes, "path string, n int").select("path", F.concat(F.lit("first\n"), F.expr("repeat('x', n)"), F.lit("\nlast")).alias("content"))
+    rows = detect.scannable(detect.explode_lines(everything(spark, sf_dir).unionByName(odd)))
+    return rows.groupBy("path").agg(F.count("*").alias("lines"), F.max(F.octet_length("line")).cast("long").alias("longest"))
+
+
+LONG_LINES_SQL = f"""WITH files AS ({DOCS_SQL} UNION ALL {planted_sql()} UNION ALL SELECT path, 'first' || chr(10) || repeat('x', n) || chr(10) || 'last' FROM (VALUES ('l1', 16384), ('l2', 16385), ('l3', 1048575), ('l4', 1048576), ('l5', 0)) AS t(path, n)),
+{O.lines_sql()} SELECT path, count(*) AS lines, max(strlen(line))::BIGINT AS longest FROM l WHERE strlen(line) BETWEEN 1 AND 16384 GROUP BY path"""
+
+
+def confident_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.confident(findings(spark, sf_dir), "medium").select("path", "line", "rule_id", "confidence")
+
+
+def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with their place in the order of reports."""
+    place = Window.orderBy("path", "line", "start_column", "rule_id")
+    return findings(spark, sf_dir).select("path", "line", "start_column", "rule_id", F.row_number().over(place).alias("place"))
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.totals(findings(spark, sf_dir))
+
+
+def secret_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return allow.secret_hashes(findings(spark, sf_dir))
+
+
+def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.sarif_rules(findings(spark, sf_dir)).select("rule_id", "description", "severity", "rule_index")
+
+
+def chosen_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the rules that a selection leaves: by id, by tag, by a predicate."""
+    rules = select(RULES, exclude=("jwt",), tag="CLOUD", keep=lambda r: r.confidence == "high")
+    return detect.detect(everything(spark, sf_dir), rules, detect.Options(entropy=False)).select("path", "line", "rule_id", "secret")
+
+
+def chosen_rules_sql() -> str:
+    ids = ", ".join(sql_text(r.id) for r in RULES if r.id != "jwt" and "cloud" in r.tags and r.confidence == "high")
+    return found_sql(f"SELECT path, line, rule_id, secret FROM finding WHERE rule_id IN ({ids})")
+
+
+def entropy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with the threshold of their alphabet, and whether they reach it at 20 bytes or more."""
+    w = words_of(spark, sf_dir).unionByName(planted(spark).select(F.explode(F.split("content", r"[\s=:\"']+")).alias("value")).where("value != ''")).distinct()
+    kind, value = T.alphabet(F.col("value")), F.col("value")
+    floor = T.entropy_floor(kind)
+    return w.select("value", floor.alias("floor"), F.coalesce((F.octet_length(value) >= 20) & (T.shannon(value) >= floor), F.lit(False)).alias("high"))
+
+
+def entropy_scores_sql() -> str:
+    kind = "CASE WHEN regexp_full_match(value, '[0-9A-Fa-f]+') THEN 3.0::DOUBLE WHEN regexp_full_match(value, '[0-9A-Za-z+/=_-]+') THEN 4.5::DOUBLE END"
+    return rf"""WITH {WORDS_SQL}, v AS (SELECT value FROM words UNION SELECT value FROM (SELECT unnest(regexp_split_to_array(content, '[\s\x0B=:"'']+')) AS value FROM ({planted_sql()})) WHERE value <> ''),
+    b AS (SELECT value, {kind} AS floor, {O.bytes_of('value')} AS b FROM v)
+    SELECT value, floor, coalesce(strlen(value) >= 20 AND {O.shannon('b')} >= floor, false) AS high FROM b"""
+
+
+def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 of plain words, and its six digits to the base 62."""
+    w = words_of(spark, sf_dir).where(F.col("value").rlike(r"\A[ -~]+\z"))
+    return w.select("value", F.crc32("value").alias("crc"), T.base62(F.crc32("value")).alias("digits"))
+
+
+def checksums_sql() -> str:
+    digits = " || ".join(f"substr('{O.BASE62}', ((crc // {62**k}) % 62 + 1)::INTEGER, 1)" for k in range(5, -1, -1))
+    return f"WITH {WORDS_SQL}, c AS (SELECT value, {O.crc32('value')} AS crc FROM words WHERE regexp_full_match(value, '[ -~]+')) SELECT value, crc, {digits} AS digits FROM c"
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detect.explode_lines(everything(spark, sf_dir))
+    return rows.select("path", F.col("line_no").cast("long").alias("line_no"), F.sha2(T.sample(F.col("line")), 256).alias("sample"), T.ascii_lower(F.substring("line", 1, 30)).alias("low"))
+
+
+def history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits, distinct blobs that they bring, and branches (a conversation each)."""
+    commits, changes = _history(spark, sf_dir)
+    refs = spark.read.parquet(f"{sf_dir}/conversations.parquet").agg(F.count_distinct("conv_id").alias("refs"))
+    return history.counts(commits, changes).join(F.broadcast(refs))
+
+
+def history_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits newer than a revision, here the least of those at turn 1."""
+    commits = _history(spark, sf_dir)[0]
+    stop = commits.where("committed = 1").agg(F.min("hash")).first()[0]
+    return history.visited(commits, stop=stop).select("hash", "committed")
+
+
+def history_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.live(history_in_head(spark, sf_dir)).select("path", "line", "rule_id", "fingerprint", "date")
+
+
+def tree_and_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct fingerprints and secrets by rule of a tree's findings and its history's, as a baseline with history has them."""
+    both = findings(spark, sf_dir).select("rule_id", "fingerprint", "secret_hash").unionByName(history_in_head(spark, sf_dir).select("rule_id", "fingerprint", "secret_hash"))
+    return both.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("fingerprint").alias("fingerprints"), F.count_distinct("secret_hash").alias("secrets"))
+
+
+def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and planted texts as a stream of files, scanned batch by batch: the findings of a batch scan."""
+    out = shared(spark, "stream")
+    everything(spark, sf_dir).write.parquet(f"{out}/in")
+    texts = spark.readStream.schema("path string, content string").parquet(f"{out}/in")
+    scan_stream(texts, lambda found, n: found.write.mode("overwrite").parquet(f"{out}/found/batch={n}"), f"{out}/offsets").awaitTermination()
+    return shown(spark.read.parquet(f"{out}/found").drop("batch"))
+
+
+MORE = (
+    tree_paths, headers, explicit_paths, long_lines, confident_findings, finding_order, totals, secret_hashes, sarif_rules, chosen_rules, entropy_scores, checksums, samples, history_counts, history_until, history_live,
+    tree_and_history, stream_findings,
+)
+
+
+def more_sql() -> dict[str, str]:
+    past, now = history_in_head_sql(), found_sql("SELECT rule_id, fingerprint, secret_hash FROM finding")
+    return {
+        "tree_paths": tree_paths_sql(),
+        "headers": headers_sql(),
+        "explicit_paths": f"SELECT path, strlen(coalesce(content, '')) AS bytes FROM ({DOCS_SQL} UNION ALL {planted_sql()}) WHERE path IN (SELECT path FROM ({planted_sql()})) OR path IN (SELECT url FROM pages WHERE url IS NOT NULL)",
+        "long_lines": LONG_LINES_SQL,
+        "confident_findings": found_sql("SELECT path, line, rule_id, confidence FROM finding WHERE confidence <> 'low'"),
+        "finding_order": found_sql("SELECT path, line, start_column, rule_id, (row_number() OVER (ORDER BY path, line, start_column, rule_id))::INTEGER AS place FROM finding"),
+        "totals": found_sql("SELECT count(*) AS findings, count(DISTINCT path) AS files FROM finding"),
+        "secret_hashes": found_sql("SELECT DISTINCT secret_hash FROM finding"),
+        "sarif_rules": found_sql("SELECT rule_id, arg_min(description, (path, line, start_column)) AS description, arg_min(severity, (path, line, start_column)) AS severity, (row_number() OVER (ORDER BY rule_id) - 1)::INTEGER AS rule_index FROM finding GROUP BY rule_id"),
+        "chosen_rules": chosen_rules_sql(),
+        "entropy_scores": entropy_scores_sql(),
+        "checksums": checksums_sql(),
+        "samples": f"WITH {FILES_SQL}, {LINES_SQL} SELECT path, line_no, sha256({O._sample('line')}) AS sample, {LOW_SQL.format('left(line, 30)')} AS low FROM l",
+        "history_counts": "SELECT count(DISTINCT conv_id || '-' || turn) AS commits, count(DISTINCT sha256(text)) AS blobs, count(DISTINCT conv_id) AS refs FROM conversations",
+        "history_until": "SELECT DISTINCT conv_id || '-' || turn AS hash, turn AS committed FROM conversations WHERE turn > 1",
+        "history_live": f"SELECT path, line, rule_id, fingerprint, date FROM ({past}) WHERE in_head",
+        "tree_and_history": f"SELECT rule_id, count(*) AS n, count(DISTINCT fingerprint) AS fingerprints, count(DISTINCT secret_hash) AS secrets FROM (SELECT * FROM ({now}) UNION ALL SELECT rule_id, fingerprint, secret_hash FROM ({past})) GROUP BY rule_id",
+        "stream_findings": found_sql(FINDING_SQL),
+    }
+
+
 QUERIES = {f.__name__: f for f in (
     scan_documents, scan_pages, lines_explode, prefilter_candidates, rule_matches, shannon_entropy, alphabet_class, entropy_candidates, placeholder_filter, path_context, digests, directive_suppression,
     pem_continuation, validators, allowlist, allow_globs, baseline_new_findings, baseline_rows, history_first_commit, history_since, history_in_head, summary_grouping_sets, by_file, sarif_results, jsonl,
-    junit_suites, fail_on_status, rules_by_tag, catalogue_merge, scan_stats,
+    junit_suites, fail_on_status, rules_by_tag, catalogue_merge, scan_stats, *MORE,
 )}
 
 
@@ -381,6 +570,7 @@ def path_context_sql() -> str:
 
 def sql() -> dict[str, str]:
     return {
+        **more_sql(),
         "scan_documents": found_sql(FINDING_SQL),
         "scan_pages": found_sql(FINDING_SQL, "SELECT url AS path, html AS content FROM pages"),
         "allowlist": found_sql(f"SELECT path, line, rule_id, fingerprint FROM finding WHERE NOT ({ALLOWED_SQL})"),

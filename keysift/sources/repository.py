@@ -10,7 +10,8 @@ from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from keysift.operators import history
 
 #: Blobs that one task asks for.
 BLOBS_PER_TASK = 2000
@@ -173,4 +174,4 @@ def staged(folder: str) -> tuple[str, list[str]]:
 
 def stats(t: Tables) -> dict[str, int]:
     """Commits, distinct blobs introduced, and refs of a history."""
-    return {"commits": t.commits.count(), "blobs": t.changes.join(t.commits, F.col("commit") == F.col("hash")).select("blob_hash").distinct().count(), "refs": t.refs}
+    return {**history.counts(t.commits, t.changes).first().asDict(), "refs": t.refs}
