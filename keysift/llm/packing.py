@@ -12,8 +12,8 @@ of the loosest bins; without that bound (``nodes=None``) it ends at an optimal p
 The plan lists, per length, runs of ranks and where they go. Pieces get their rank within their length from
 counts per task (no window over a hot length), and find their place by binary search.
 
-Tokens: words are cut at blanks and encoded once per task, while a cache of ``CACHE`` words holds them; the tokenizer
-splits at white space itself, so ids are those of the whole text.
+Tokens: words are cut at blanks and encoded once per Python worker, while a cache of ``CACHE`` words holds them; the
+tokenizer splits at white space itself, so ids are those of the whole text.
 
 Defined results: null and empty texts have the end id alone; rows with a null doc_id are packed like others;
 repeated rows are packed each; pieces of equal length take places in order of task and row; texts of any length are encoded
@@ -22,14 +22,19 @@ whole; an empty table gives no row; other columns don't matter, whatever their n
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +44,12 @@ from keysift.llm.common import shared_dir, written
 CAPACITY = 4096
 END = 1
 NODES = 20_000
-CACHE = 600_000
-_BLANK = re.compile(r"[ \n\t\r]+")
+CACHE = 1_000_000
+#: Characters of texts whose words are learnt together.
+GROUP = 1 << 24
+_SIGNS = frozenset(".,;:!?")
+#: Letters whose lower case depends on their place or takes several characters.
+_PLACED = re.compile("[\u0130\u03a3]")
 
 #: A plan: bins as (number of equal bins, lengths in each).
 Plan = list[tuple[int, list[int]]]
@@ -245,26 +254,105 @@ class Places:
         return self.sequence[at] + rank - self.rank[at], self.offset[at]
 
 
+def plain_tokenizer(path: str):
+    """The same vocabulary and merges without normalizing and matching, for words that need neither; None for files of another kind.
+
+    It holds for words of lower-case letters where the file's own steps are NFC, lower case, and runs of letters as one piece.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"] or r"|[\p{L}]+|" not in cuts[0]["pattern"].get("Regex", "") or file.get("post_processor"):
+        return None
+    return Tokenizer.from_str(json.dumps({**file, "normalizer": None, "pre_tokenizer": cuts[1], "added_tokens": []}))
+
+
 class Words(dict):
-    """Ids by word as bytes; a word that isn't held is encoded when asked for. Full, it starts anew."""
+    """Ids by word as bytes. Half full, its words become the old half, of which those that are asked for again stay.
+
+    A word of lower-case letters is encoded by its letters alone; one with a sign at its end has the ids of both parts.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain, self.old = Tokenizer.from_file(path), plain_tokenizer(path), {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = ids
-        return ids
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-
-def encoder(path: str) -> Callable[[str], bytes]:
-    """From a text to its ids as little-endian unsigned 32-bit numbers."""
-    known = Words(path)
-    return lambda text: b"".join(map(known.__getitem__, _BLANK.split(text)))
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHE // 2:
+            self.old = dict(self)
+            self.clear()
+            new = words
+        self.update((w, self.old[w]) for w in new if w in self.old)
+        new, ended = [w for w in new if w not in self], []
+        if self.plain:
+            ended = [w for w in new if w[-1:] in _SIGNS and _is_plain(w[:-1])]
+            letters = {w for w in new if _is_plain(w)}.union(w[:-1] for w in ended)
+            fresh = [w for w in letters if w not in self]
+            for w, found in zip(fresh, self.plain.encode_batch_fast(fresh, add_special_tokens=False)):
+                self[w] = array("I", found.ids).tobytes()
+            for w in _SIGNS:
+                if w not in self:
+                    self[w] = self.encode(w)
+            self.update((w, self[w[:-1]] + self[w[-1]]) for w in ended)
+        for w in new:
+            if w not in self:
+                self[w] = self.encode(w)
+
+
+def _is_plain(word: str) -> bool:
+    """Whether a word has lower-case letters alone, each as the tokenizer's own steps leave it."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    return word.isalpha() and word.lower() == word and not _PLACED.search(word) and unicodedata.is_normalized("NFC", word)
+
+
+def _lowered(text: str) -> str:
+    """The lower case that the tokenizer makes, of texts where it goes character by character; others stay."""
+    if text.isascii() or not _PLACED.search(text) and unicodedata.is_normalized("NFC", text):
+        return text.lower()
+    return text
+
+
+def encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
+    """From texts to their ids; what a Python worker has learnt stays for its next tasks."""
+    import tokenizers
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    held = tokenizers.__dict__.setdefault("_keysift_words", {})
+    known = held.get(path) or held.setdefault(path, Words(path))
+
+    def group(texts: list[str]) -> Iterator[np.ndarray]:
+        words = pc.ascii_split_whitespace(pa.array([_lowered(t) for t in texts], pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known.learn(distinct)
+        parts = [known[w] for w in distinct]
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start = np.cumsum(size) - size
+        counts = size[at]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = flat[np.repeat(start[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        cuts = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        yield from (ids[a:z] for a, z in zip(cuts, cuts[1:]))
+
+    def encode(texts: list[str]) -> Iterator[np.ndarray]:
+        first, size = 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size > GROUP or k + 1 == len(texts):
+                yield from group(texts[first : k + 1])
+                first, size = k + 1, 0
+
+    return encode
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
@@ -279,8 +367,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(encode(text.as_py() or "") + end)
+            for doc, found in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+                ids = memoryview(found.tobytes() + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
