@@ -443,3 +443,25 @@ def test_stages_take_empty_tables_and_clashing_names(spark, odd, tmp_path):
         some = stage(spark, odd.where("doc_id is null or doc_id != 6"), str(tmp_path))
         assert some.columns == odd.columns or stage is corpus_pipeline.STAGES[-1][1]
         assert some.count() > 0
+
+
+def test_merged_transforms_find_what_the_operator_finds(spark, folder):
+    """The merge of Burrows-Wheeler transforms on small shards, against all substrings and against the query's way."""
+    from keysift.llm import bwt_merge
+
+    rng = random.Random(1)
+    for _ in range(40):
+        depth, letters = rng.choice([1, 3, 5, 20]), rng.choice(["ab", "abcd"])
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))).encode() for _ in range(rng.randint(0, 8))]
+        texts += texts[:1] if rng.random() < 0.5 else []
+        seen = Counter(t[k : k + depth] for t in texts for k in range(len(t) - depth + 1))
+        for t, got in zip(texts, bwt_merge.repeated(texts, depth, rng.choice([1, 40, 10**6])), strict=True):
+            want = np.zeros(len(t), bool)
+            for k in range(len(t) - depth + 1):
+                want[k : k + depth] |= seen[t[k : k + depth]] > 1
+            assert (got == want).all()
+    shared = " ".join(word(rng) for _ in range(120))
+    texts = [f"{' '.join(word(rng) for _ in range(40))} {shared if k % 3 else ''} {' '.join(word(rng) for _ in range(40))}" for k in range(9)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = {r["doc_id"]: r["n_removed"] for r in repeats.find_repeats(rows, folder).collect()}
+    assert removed == {k: int(m.sum()) for k, m in enumerate(bwt_merge.repeated([t.encode() for t in texts], 200, 1000))} and any(removed.values())
