@@ -49,11 +49,20 @@ def ignore_rules(texts: Iterable[tuple[str, str]]) -> list[tuple[str, bool]]:
 
 
 def is_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
-    """Later rules win; a file below an ignored folder stays ignored unless a later rule names it."""
-    out = F.lit(False)
-    for pattern, ignored in rules:
-        out = F.when(path.rlike(pattern), F.lit(ignored)).otherwise(out)
-    return out
+    """Whether the last rule that fits a file ignores it, or ignores a folder above it: nothing brings back a file in there."""
+    if not rules:
+        return F.lit(False)
+
+    def last(at: Column, folder: bool) -> Column:
+        out = F.lit(False)
+        for pattern, ignored in rules:
+            only = not pattern.endswith(r"(?:/.*)?\z")
+            out = F.when((F.concat(at, F.lit("/")) if only and folder else at).rlike(pattern), F.lit(ignored)).otherwise(out)
+        return out
+
+    parts = F.split(path, "/", -1)
+    above = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))
+    return last(path, False) | F.exists(above, lambda x: last(x, True))
 
 
 #: Bytes of files that one task reads.

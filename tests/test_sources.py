@@ -125,3 +125,25 @@ def test_command_line(spark, repo, tmp_path, capsys):
     hook.write_text("#!/bin/sh\n")
     assert run(["install-hook", root], None) == 2 and run(["install-hook", root, "--force", "--fail-on", "high"], None) == 0 and run(["install-hook", root], None) == 0
     assert "--staged --fail-on medium" in hook.read_text() and hook.stat().st_mode & 0o100
+
+
+def test_ignored_folders_stay_so(spark):
+    rules = files.ignore_rules([("", "out/\n!out/keep.go\n*.tmp\n!good.tmp")])
+    rows = [("out/keep.go", True), ("out", False), ("a/out/x/y", True), ("b.tmp", True), ("c/good.tmp", False), ("x.tmp/good.tmp", True), ("a.go", False)]
+    got = spark.createDataFrame(rows, "path string, want boolean").select("path", "want", files.is_ignored(F.col("path"), rules).alias("got")).collect()
+    assert [(r["path"], r["got"]) for r in got] == rows
+
+
+def test_configuration(tmp_path):
+    from keysift.plans import config
+
+    assert config.load(str(tmp_path)) == config.Config()
+    (tmp_path / ".keysift.yml").write_text("max_file_size: 2KB\nfail_on: high\nentropy: {min_length: 30}\nallowlist: {paths: ['a/**'], rules: [jwt]}\nbaseline: b.json\n")
+    c = config.load(str(tmp_path))
+    assert (c.max_file_size, c.fail_on, c.entropy.min_length, c.allowlist.paths, c.allowlist.rules, c.baseline) == (2048, "high", 30, ("a/**",), ("jwt",), "b.json")
+    for bad in ("nope: 1", "entropy: {nope: 1}", "max_file_size: 3XB"):
+        (tmp_path / "bad.yml").write_text(bad)
+        with pytest.raises(ValueError):
+            config.load(str(tmp_path), str(tmp_path / "bad.yml"))
+    with pytest.raises(OSError):
+        config.load(str(tmp_path), str(tmp_path / "none.yml"))
