@@ -40,7 +40,7 @@ SHARD = 2_000_000
 PIECE = 1_000_000
 CHUNK = 400_000
 #: Files that a task keeps open at a time.
-OPEN = 64
+OPEN = 1024
 #: 16-bit codes of log10 values from 0 down to -16.
 STEP = 16 / 65535
 NONE = np.uint32(0xFFFFFFFF)
