@@ -489,7 +489,33 @@ def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(spark.read.parquet(f"{out}/found").drop("batch"))
 
 
+def directives_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all texts on which a directive silences a rule, or all."""
+    rows = detect.explode_lines(everything(spark, sf_dir))
+    return rows.select("path", F.col("line_no").cast("long").alias("line_no"), T.suppressed("jwt", F.col("line"), F.col("prev")).alias("jwt"), T.suppressed("npm-access-token", F.col("line"), F.col("prev")).alias("npm"))
+
+
+def pem_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detect.explode_lines(everything(spark, sf_dir))
+    return rows.where(T.pem_body(F.col("next"))).select("path", F.col("line_no").cast("long").alias("line_no"))
+
+
+def globs_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = allow.Allowlist(paths=("src1/**", "**/1*.txt", "src2", "src3/?.txt", "1-[01]/src/*"), path_regexes=(r"9\.txt$",))
+    return everything(spark, sf_dir).select("path", listed.skips(F.col("path")).alias("skipped"))
+
+
+GLOBS_SQL = rf"""SELECT path, regexp_matches(path, '^src1(/.*)?$') OR regexp_matches(path, '(^|/)1[^/]*\.txt$') OR starts_with(path, 'src2/') OR path = 'src2' OR regexp_matches(path, '^src3/[^/]\.txt$')
+OR regexp_matches(path, '^1-[01]/src/[^/]*$') OR starts_with(path, 'src3/?.txt/') OR regexp_matches(path, '9\.txt$') AS skipped FROM ({DOCS_SQL} UNION ALL {planted_sql()})"""
+
+
+def history_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All commits from a time on, without a bound on their number."""
+    return history.visited(_history(spark, sf_dir)[0], since=F.lit(2)).select("hash", "committed")
+
+
 MORE = (
+    directives_everywhere, pem_everywhere, globs_everywhere, history_after,
     tree_paths, headers, explicit_paths, long_lines, confident_findings, finding_order, totals, secret_hashes, sarif_rules, chosen_rules, entropy_scores, checksums, samples, history_counts, history_until, history_live,
     tree_and_history, stream_findings,
 )
@@ -498,6 +524,10 @@ MORE = (
 def more_sql() -> dict[str, str]:
     past, now = history_in_head_sql(), found_sql("SELECT rule_id, fingerprint, secret_hash FROM finding")
     return {
+        "directives_everywhere": f"WITH {FILES_SQL}, {LINES_SQL} SELECT path, line_no, " + ", ".join(f"""({O.directive('line', f"'{r}'")} OR {O.directive('prev', f"'{r}'")}) AS {c}""" for r, c in (("jwt", "jwt"), ("npm-access-token", "npm"))) + " FROM l",
+        "pem_everywhere": f"WITH {FILES_SQL}, {LINES_SQL} SELECT path, line_no FROM l WHERE {O.pem('next')}",
+        "globs_everywhere": GLOBS_SQL,
+        "history_after": "SELECT DISTINCT conv_id || '-' || turn AS hash, turn AS committed FROM conversations WHERE turn >= 2",
         "tree_paths": tree_paths_sql(),
         "headers": headers_sql(),
         "explicit_paths": f"SELECT path, strlen(coalesce(content, '')) AS bytes FROM ({DOCS_SQL} UNION ALL {planted_sql()}) WHERE path IN (SELECT path FROM ({planted_sql()})) OR path IN (SELECT url FROM pages WHERE url IS NOT NULL)",
