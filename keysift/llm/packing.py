@@ -44,9 +44,9 @@ from keysift.llm.common import shared_dir, written
 CAPACITY = 4096
 END = 1
 NODES = 20_000
-CACHE = 1_000_000
+CACHE = 700_000
 #: Characters of texts whose words are learnt together.
-GROUP = 1 << 24
+GROUP = 1 << 23
 _SIGNS = frozenset(".,;:!?")
 #: Letters whose lower case depends on their place or takes several characters.
 _PLACED = re.compile("[\u0130\u03a3]")
