@@ -4,6 +4,7 @@ Model: interpolated absolute discounting over trigrams, bigrams and the add-0.5
 ``p(c|a,b) = A(abc) + bow(ab) p(c|b)`` with ``A = (n - D) / n(context)`` and ``bow = 1 - sum A``, so that each
 distribution sums to one. Every trigram of the training texts is stored, those seen once too.
 
+Tokens: the bytes of many texts are cut and hashed at once, a word's digest coming from running sums of two polynomials.
 Counting: (1) word counts by digest; the sorted digests in pieces give each word its number. (2) each task
 turns its texts into numbers, sums its n-grams, and sends them as compressed blocks to shards of a bounded
 number of tokens: ranges of (first word, second word), a word with many tokens being cut into several. (3) a
@@ -32,13 +33,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.common import lower_ascii, open_fs, put, shared_dir, words, written
+from keysift.llm.common import open_fs, put, shared_dir, written
 from keysift.llm.elias_fano import EliasFano
 
 D = 0.75
 SHARD = 2_000_000
 PIECE = 1_000_000
 CHUNK = 400_000
+#: Bytes that are hashed at a time; a longer text is hashed whole.
+PART = 1 << 19
 #: Files that a task keeps open at a time.
 OPEN = 1024
 #: 16-bit codes of log10 values from 0 down to -16.
@@ -93,9 +96,81 @@ _VALUES = 10.0 ** (-np.arange(65536) * STEP)
 _VALUES[65535] = 0.0
 
 
-def tokens(text: Column) -> Column:
-    """Digests of the words, and the end: a digest that no word has."""
-    return F.concat(F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit("\n"))))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype="u1")
+_LOWER[65:91] += 32
+_RNG = np.random.default_rng(7)
+_CODES = (_RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, _LOWER]
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_POWERS: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of the bases and of their inverses modulo 2**64, for texts of up to ``n`` bytes."""
+    size = 1 << max(20, (n + 1).bit_length())
+    if size not in _POWERS:
+        run = lambda x: np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, x, np.uint64))), dtype=np.uint64)
+        _POWERS.clear()
+        _POWERS[size] = [(run(np.uint64(x)), run(np.uint64(pow(x, -1, 1 << 64)))) for x in _BASES]
+    return _POWERS[size]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ x >> np.uint64(32)
+
+
+#: The end's digest is that of no byte at all, which no word is.
+END = _mix(_mix(np.zeros(1, np.uint64))).view("<i8")[0]
+
+
+def digests(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A digest per word (A-Z lower-cased) of bytes that end in white space, and where words start."""
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(space) and not space[0]:
+        edge = np.concatenate(([0], edge))
+    starts, ends = edge[::2], edge[1::2]
+    found = []
+    for codes, (up, down) in zip(_CODES, _powers(len(data))):
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(codes[data] * up[: len(data)], dtype=np.uint64)))
+        found.append((sums[ends] - sums[starts]) * down[starts])
+    return _mix(found[0] ^ _mix(found[1] + (ends - starts).astype(np.uint64))).view("<i8"), starts
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about CHUNK tokens: first and last text, digests of words with an end after each text, and where texts start."""
+    a, most = 0, 6 * CHUNK
+    while a < len(texts):
+        b, size = a + 1, len(texts[a])
+        while b < len(texts) and size + len(texts[b]) <= most:
+            size += len(texts[b])
+            b += 1
+        found, before, n, c = [], [], 0, a
+        while c < b:  # hashed in parts that fit a cache
+            d, size = c + 1, len(texts[c])
+            while d < b and size + len(texts[d]) <= PART:
+                size += len(texts[d])
+                d += 1
+            words, starts = digests(np.frombuffer(b"\n".join([*texts[c:d], b""]), "u1"))
+            found.append(words)
+            before.append(n + np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts[c:d]])))  # words up to the end of each text
+            n, c = n + len(words), d
+        words, before = np.concatenate(found), np.concatenate(before)
+        offsets = np.concatenate(([0], before + np.arange(1, b - a + 1)))
+        flat = np.full(offsets[-1], END)
+        own = np.ones(offsets[-1], bool)
+        own[offsets[1:] - 1] = False
+        flat[own] = words
+        yield a, b, flat, offsets
+        a = b
+
+
+def bodies(text: Column) -> Column:
+    """The bytes of a text; none for null."""
+    return F.coalesce(text.cast("binary"), F.lit(b""))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -130,9 +205,27 @@ class Vocabulary:
         return ids[back], counts[back]
 
 
-def count_words(hashed: DataFrame, folder: str) -> list[tuple[int, int]]:
+def count_words(docs: DataFrame, folder: str) -> list[tuple[int, int]]:
     """Writes the vocabulary; returns tokens and words per piece."""
-    counts = written(hashed.select(F.explode("tokens").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")), folder, "words")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, flat, _ in chunks(batch.column(0).to_pylist()):
+                held.append(flat)
+                size += len(flat)
+                if size > 8 * CHUNK:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        digest, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(n)], ["digest", "n"])
+
+    parts = docs.select(bodies(F.col("text"))).mapInArrow(work, "digest long, n long")
+    counts = written(parts.groupBy("digest").agg(F.sum("n").alias("n")), folder, "words")
     n = counts.count()
     bits = max(0, (-(-n // PIECE) - 1).bit_length())
     piece = (F.shiftright("digest", 64 - bits) + (1 << bits >> 1)).cast("int") if bits else F.lit(0)
@@ -163,24 +256,14 @@ def shard_bounds(counts: DataFrame, folder: str, pieces: list[tuple[int, int]])
     return np.array(sorted(bounds), np.int64)
 
 
-def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows with at most about CHUNK tokens: first and last row, tokens, and where rows start."""
-    lists = batch.column(column)
-    flat, offsets, a = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64), 0
-    while a < len(lists):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
-        yield a, b, flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        a = b
-
-
-def count_ngrams(hashed: DataFrame, folder: str, pieces: list[tuple[int, int]], bounds: np.ndarray) -> DataFrame:
+def count_ngrams(docs: DataFrame, folder: str, pieces: list[tuple[int, int]], bounds: np.ndarray) -> DataFrame:
     """Blocks of summed n-grams: ``shard``, ``block``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder, pieces)
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for _, _, flat, offsets in chunks(batch, 0):
+            for _, _, flat, offsets in chunks(batch.column(0).to_pylist()):
                 ids = vocabulary.find(flat)[0]
                 last = np.zeros(len(ids) + 1, bool)
                 last[offsets[1:] - 1] = True
@@ -201,7 +284,7 @@ def count_ngrams(hashed: DataFrame, folder: str, pieces: list[tuple[int, int]],
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "block"])
 
-    return hashed.select("tokens").mapInArrow(work, "shard int, block binary")
+    return docs.select(bodies(F.col("text"))).mapInArrow(work, "shard int, block binary")
 
 
 def write_shards(blocks: DataFrame, folder: str, pieces: list[tuple[int, int]]) -> DataFrame:
@@ -345,10 +428,9 @@ class Model:
 
 def train(docs: DataFrame, folder: str) -> tuple[list[tuple[int, int]], np.ndarray, frozenset[int]]:
     """Counts and writes the model of ``docs`` (column ``text``); returns what ``Model`` needs."""
-    hashed = docs.select(tokens(F.col("text")).alias("tokens"))
-    pieces = count_words(hashed, folder)
+    pieces = count_words(docs, folder)
     bounds = shard_bounds(docs.sparkSession.read.parquet(f"{folder}/words"), folder, pieces)
-    shards = write_shards(count_ngrams(hashed, folder, pieces, bounds), folder, pieces)
+    shards = write_shards(count_ngrams(docs, folder, pieces, bounds), folder, pieces)
     return pieces, bounds, frozenset(r["shard"] for r in shards.select("shard").collect())
 
 
@@ -362,7 +444,7 @@ def score(docs: DataFrame, folder: str, pieces: list[tuple[int, int]], bounds: n
         model = Model(folder, pieces, bounds, present)
         v = model.vocabulary
         for batch in batches:
-            for a, b, flat, offsets in chunks(batch, 2):
+            for a, b, flat, offsets in chunks(batch.column(2).to_pylist()):
                 ids, counts = v.find(flat)
                 last = np.zeros(len(ids), bool)
                 last[offsets[1:] - 1] = True
@@ -374,7 +456,7 @@ def score(docs: DataFrame, folder: str, pieces: list[tuple[int, int]], bounds: n
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), tokens(F.col("text")).alias("tokens"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), bodies(F.col("text")))
     return rows.mapInArrow(work, SCORES)
 
 
