@@ -44,7 +44,7 @@ from keysift.llm.common import shared_dir, written
 CAPACITY = 4096
 END = 1
 NODES = 20_000
-CACHE = 700_000
+CACHE = 1_000_000
 #: Characters of texts whose words are learnt together.
 GROUP = 1 << 23
 _SIGNS = frozenset(".,;:!?")
@@ -336,11 +336,12 @@ def encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
         known.learn(distinct)
         parts = [known[w] for w in distinct]
         flat = np.frombuffer(b"".join(parts), "<u4")
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        start = np.cumsum(size) - size
+        # A group has fewer ids than fit 32 bits.
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // np.int32(4)
+        start = np.cumsum(size, dtype=np.int32) - size
         counts = size[at]
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        ids = flat[np.repeat(start[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32)))
+        ids = flat[np.repeat(start[at] - ends[:-1], counts) + np.arange(ends[-1], dtype=np.int32)]
         cuts = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
         yield from (ids[a:z] for a, z in zip(cuts, cuts[1:]))
 
