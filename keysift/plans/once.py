@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def base(spark: SparkSession) -> str:
     """The session's shared folder, ``spark.checkpoint.dir``; only in local mode one is made where none is set."""
     context = spark.sparkContext
+    if not context.getCheckpointDir() and (named := spark.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(named)
     if not context.getCheckpointDir():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
