@@ -31,6 +31,7 @@ from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,8 @@ def complete(counts: dict[int, int], capacity: int, incumbent: Plan, nodes: int
     """Bin completion from the incumbent on: the best plan found, and whether it is proven to be one of the fewest bins.
 
     Depth-first over the fillings around the largest item left, each tried in multiples, with a stack of its own. A
-    branch is cut once its waste leaves no room for a better plan, or where its items left were reached with as few bins.
+    branch is cut once its waste leaves no room for a better plan, or where its items left (known by 128-bit digests) were
+    reached with as few bins. All branches share ``left``, so that memory goes with the steps and not with the lengths.
     """
     best, used, least = incumbent, sum(n for n, _ in incumbent), lower_bound(counts, capacity)
     lengths, left, total = sorted(counts, reverse=True), dict(counts), sum(k * n for k, n in counts.items())
@@ -153,17 +155,24 @@ def complete(counts: dict[int, int], capacity: int, incumbent: Plan, nodes: int
             raise _Spent
 
     def branches(bins: int, waste: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-        state = tuple(left[k] for k in lengths)
+        state = blake2b(np.fromiter(left.values(), np.int64, len(left)), digest_size=16).digest()
         if reached.get(state, used) <= bins:
             return
         reached[state] = bins
         top = next(k for k in lengths if left[k])
         slack = (used - 1) * capacity - total - waste
-        left[top] -= 1
-        rest = [k for k in lengths if left[k]]
-        found = [(top, *items) for items in fillings(rest, left, capacity - top, slack, spend)] if nodes is None else ((top, *items) for items in fillings(rest, dict(left), capacity - top, slack, spend))
-        left[top] += 1
-        for filling in sorted(found, key=sum, reverse=True) if nodes is None else found:
+        # Whenever a step is asked for, ``left`` is as it was at first: no branch needs a copy.
+        found = fillings(lengths, left, capacity - top, slack, spend)
+        best_first = nodes is None
+        while True:
+            left[top] -= 1
+            if best_first:
+                found, best_first = iter(sorted(found, key=lambda items: -sum(items))), False
+            items = next(found, None)
+            left[top] += 1
+            if items is None:
+                return
+            filling = (top, *items)
             for times in range(min(left[k] // filling.count(k) for k in set(filling)), 0, -1):
                 yield times, filling
 

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -359,6 +360,21 @@ def test_packing_is_optimal_on_small_cases():
     assert sum(n for n, _ in packing.pack(dict(Counter(items)))) <= sum(n for n, _ in packing.best_fit(dict(Counter(items))))
 
 
+def test_the_search_for_a_plan_needs_little_memory():
+    """Thousands of lengths, best-fit decreasing misses the bound: what the search holds doesn't grow with steps times lengths."""
+    rng = random.Random(4)
+    counts = Counter(k for k in range(1, 4001) for _ in range(rng.randint(1, 3)))
+    counts[3000] += 1
+    counts[-sum(k * n for k, n in counts.items()) % 4096] += 1
+    first = packing.best_fit(dict(counts))
+    assert sum(n for n, _ in first) > packing.lower_bound(counts)
+    tracemalloc.start()
+    plan, _ = packing.complete(dict(counts), packing.CAPACITY, first, 3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in plan) <= sum(n for n, _ in first) and peak < 20e6
+
+
 def test_packing_of_odd_rows(odd, odd_rows, folder):
     got = packing.pack_documents(odd, folder, packing.default_tokenizer(), 64).collect()
     assert sum(r["piece"] == 0 for r in got) == len(odd_rows)
