@@ -24,8 +24,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each component of near copies: five-word shingles at Jaccard 0.8 or more, verified. Rows are known
-    by a key of their own, so that null and repeated ids take part."""
+    """One document stays of each component of near copies: five-word shingles at Jaccard 0.8 or more, verified. Candidates are
+    fingerprints at up to four bits, found by op5's anchors, and MinHash bands for those further apart. Rows are known by a key
+    of their own, so that null and repeated ids take part."""
     return near_copies.drop_near_copies(docs, shared_dir(spark))
 
 

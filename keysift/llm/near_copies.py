@@ -2,11 +2,14 @@
 
 1. A text is the set of its shingles of ``SHINGLE`` words (ASCII lower case), known by 64-bit digests; a text of
    fewer words is one shingle. Rows with equal sets are one class, and its first row stands for it.
-2. MinHash: ``BANDS`` bands of ``ROWS`` minima. A pair at similarity 0.8 shares a band with probability above 0.999.
-3. In each bucket every document is compared with the bucket's first. Where that leaves a bucket in several
+2. SimHash: a set's fingerprint has the bits that over half of its digests have. Fingerprints of at most four
+   differing bits meet at their anchors, exactly (``simhash``); those that such steps join are one bucket.
+3. MinHash, for similar sets whose fingerprints are further apart (at 0.8 most are): ``BANDS`` bands of ``ROWS``
+   minima are buckets too. A pair at similarity 0.8 shares a band with probability above 0.999.
+4. In each bucket every document is compared with the bucket's first. Where that leaves a bucket in several
    components, every document outside its largest component is compared with all of other components there.
    Two documents left uncompared are thus in one component already, and no bucket is expanded into all pairs.
-4. Every candidate is verified by its exact Jaccard similarity before it becomes a link; then distributed union-find.
+5. Every candidate is verified by its exact Jaccard similarity before it becomes a link; then distributed union-find.
 
 Rows are known by a written row key, so that null and repeated ids take part: of each component the row with the
 smallest id stays (rows without an id come last; of equal ids the first row). Null and blank texts are one class.
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysift.llm.common import components, written
+from keysift.llm.simhash import link_fingerprints, majority
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
@@ -63,19 +67,21 @@ def similar(p: np.ndarray, q: np.ndarray) -> bool:
     return both * SIMILAR[1] >= SIMILAR[0] * (len(p) + len(q) - both)
 
 
-def signatures(keyed: DataFrame) -> DataFrame:
-    """``row``, ``doc_id``, ``same`` (a digest of the whole set) and ``keys`` (a digest per band)."""
+def signatures(keyed: DataFrame, bands: int = BANDS) -> DataFrame:
+    """``row``, ``doc_id``, ``same`` (a digest of the whole set), ``fp`` (its fingerprint, null for the empty set) and
+    ``keys`` (a digest for each of the first ``bands``)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, keys = [], []
+            same, fps, keys = [], [], []
             for t in batch.column(2):
                 s = shingles(t.as_py())
                 same.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(band_keys(s).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "same", "keys"])
+                fps.append(np.uint64(majority(s)).view("<i8") if len(s) else None)
+                keys.append(band_keys(s)[:bands].tolist() if bands else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "same", "fp", "keys"])
 
-    return keyed.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "row long, doc_id long, same binary, keys array<long>")
+    return keyed.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "row long, doc_id long, same binary, fp long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, folder: str, name: str) -> DataFrame:
@@ -100,13 +106,23 @@ def _verified(pairs: DataFrame, keyed: DataFrame, folder: str, name: str) -> Dat
     return written(both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long"), folder, f"near-links-{name}")
 
 
-def kept_rows(keyed: DataFrame, folder: str) -> DataFrame:
+def near_fingerprints(heads: DataFrame, folder: str) -> DataFrame:
+    """``row`` and ``key``: the component of its fingerprint (``fp``), of those that have others in it."""
+    alike = heads.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n"))
+    classes = written(alike, folder, "near-fingerprints")
+    stars = components(link_fingerprints(classes), folder, "near-cc-fingerprints").withColumnRenamed("id", "fp")
+    shared = classes.join(stars, "fp", "left").where("component is not null or n > 1").select("fp", F.coalesce("component", "fp").alias("component"))
+    return heads.join(shared, "fp").select("row", F.xxhash64(F.lit(-1), "component").alias("key"))
+
+
+def kept_rows(keyed: DataFrame, folder: str, bands: int = BANDS) -> DataFrame:
     """``row`` of the one row that stays of each component; ``keyed`` has ``row``, ``doc_id`` and ``text``."""
-    first_of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "keys"))
-    heads = written(signatures(keyed).groupBy("same").agg(first_of.alias("head")).select("head.*"), folder, "near-heads")
+    first_of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "fp", "keys"))
+    heads = written(signatures(keyed, bands).groupBy("same").agg(first_of.alias("head")).select("head.*"), folder, "near-heads")
 
     by_bucket = "partition by key order by row rows between unbounded preceding and current row"
     buckets = heads.select("row", F.posexplode("keys").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("key"))
+    buckets = buckets.unionByName(near_fingerprints(heads, folder))
     followers = written(buckets.withColumn("first", F.expr(f"min(row) over ({by_bucket})")).where("row != first"), folder, "near-followers")
     links = _verified(followers.select(F.col("first").alias("a"), F.col("row").alias("b")).distinct(), keyed, folder, "first")
     stars = written(components(links, folder, "near-cc-first"), folder, "near-stars-first")
@@ -123,7 +139,7 @@ def kept_rows(keyed: DataFrame, folder: str) -> DataFrame:
     links = links.unionByName(_verified(again, keyed, folder, "second"))
     stars = components(links, folder, "near-cc-second")
 
-    labelled = heads.drop("keys").join(stars.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    labelled = heads.drop("fp", "keys").join(stars.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     return labelled.groupBy("component").agg(F.min(F.struct("none", "doc_id", "row")).alias("k")).select("k.row")
 
 

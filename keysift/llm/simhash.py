@@ -57,11 +57,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last)], "<u8")
+    return majority(np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last)], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the digests have."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
+    for at in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[at : at + (1 << 14)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -449,6 +449,37 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert max(bins.values()) <= 4096 and len(bins) == -(-sum(bins.values()) // 4096)
 
 
+def test_near_copies_are_found_by_fingerprints(spark, folder):
+    """Without any band of minima, what stays is what exact Jaccard of all pairs at up to four differing bits, joined in steps, leaves."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(40):
+        w = [word(rng) for _ in range(400)]
+        rows.append((10 * k, " ".join(w)))
+        for n in range(1, 4):
+            v = list(w)
+            for at in rng.sample(range(len(w)), n):
+                v[at] = "changed"
+            rows.append((10 * k + n, " ".join(v)))
+    rows += [(900, "one two three"), (901, "one two three"), (902, None), (903, " "), (None, rows[0][1])]
+    sets = [near_copies.shingles(t) for _, t in rows]
+    fps = [simhash.majority(s) for s in sets]
+    by_bits, stay = Sets(), Sets()
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a]) and len(sets[b]) and (fps[a] ^ fps[b]).bit_count() <= 4:
+            by_bits.link(a, b)
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if by_bits.find(a) == by_bits.find(b) and near_copies.similar(sets[a], sets[b]) or not len(sets[a]) + len(sets[b]):
+            stay.link(a, b)
+    keyed = common.written(spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "row long, doc_id long, text string").repartition(3), folder, "rows")
+    heads = near_copies.signatures(keyed, 0)
+    assert {r["row"]: r["fp"] for r in heads.collect()} == {k: (f - (f >> 63 << 64) if len(s) else None) for k, (f, s) in enumerate(zip(fps, sets))}
+    keys = {r["row"]: r["key"] for r in near_copies.near_fingerprints(heads, f"{folder}/keys").collect()}
+    assert all((by_bits.find(a) == by_bits.find(b)) == (a in keys and keys[a] == keys.get(b)) for a, b in itertools.combinations(range(len(rows)), 2))
+    got = {r["row"] for r in near_copies.kept_rows(keyed, folder, 0).collect()}
+    assert got == {k for k in range(len(rows)) if stay.find(k) == k} and len(got) < 120
+
+
 def test_stages_take_empty_tables_and_clashing_names(spark, odd, tmp_path):
     import corpus_pipeline
 
