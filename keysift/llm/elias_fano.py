@@ -48,8 +48,8 @@ def select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
 class EliasFano:
     """``arrays()`` are all its data; made from them again over a memory map."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -63,17 +63,16 @@ class EliasFano:
         flags = np.zeros(-(-(n + top + 1) // 64) * 64, np.uint8)
         flags[at] = 1
         high = np.packbits(flags, bitorder="little").view("<u8")
-        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64))).astype("<u4" if n < 1 << 32 else "<u8")
-        return cls(n, bits, low, high, ones)
+        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
+        zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+        kind = "<u4" if len(flags) < 1 << 32 else "<u8"
+        return cls(n, bits, low, high, ones.astype(kind), zeros.astype(kind))
 
     def _select(self, rank: np.ndarray, zeros: bool) -> np.ndarray:
         """Bit positions of ones, or zeros, by rank."""
-        if zeros:
-            before = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones if not hasattr(self, "_zeros") else self._zeros
-            self._zeros = before
-        else:
-            before = self.ones
-        word = np.searchsorted(before, rank, "right") - 1
+        before = self.zeros if zeros else self.ones
+        # Of one type with what is searched, which else would be copied as a whole.
+        word = np.searchsorted(before, rank.astype(before.dtype), "right") - 1
         bits = self.high[word]
         return word * 64 + select_in_word(~bits if zeros else bits, rank - before[word].astype(np.int64))
 
@@ -105,9 +104,9 @@ class EliasFano:
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"meta": np.array([self.n, self.low_bits], "<i8"), "low": self.low, "high": self.high, "ones": self.ones}
+        return {"meta": np.array([self.n, self.low_bits], "<i8"), "low": self.low, "high": self.high, "ones": self.ones, "zeros": self.zeros}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray]) -> EliasFano:
         n, bits = arrays["meta"].tolist()
-        return cls(n, bits, arrays["low"], arrays["high"], arrays["ones"])
+        return cls(n, bits, arrays["low"], arrays["high"], arrays["ones"], arrays["zeros"])

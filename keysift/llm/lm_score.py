@@ -12,7 +12,8 @@ shard sorts its n-grams and writes its trie: first words, then (context, word) a
 level, pointers to children likewise; probabilities and back-off weights in 16 bits.
 
 Scoring: pairs of a chunk are sorted, so that a shard is visited once; a word's node is the successor search of
-its number relative to its context. Maps are shared by all tasks of a machine; none holds the model.
+its number relative to its context. A visit has its price whatever the number of pairs, so chunks grow with the number
+of shards, up to ``GROWN`` times; what a chunk holds for each token is kept small. Maps are shared by all tasks of a machine; none holds the model.
 
 Words are known by 64-bit digests. Defined results: null texts are empty, and have the end token alone; a null
 doc_id trains; repeated rows count as often as they are there; ties don't arise; texts of any length are counted and
@@ -40,6 +41,8 @@ D = 0.75
 SHARD = 2_000_000
 PIECE = 1_000_000
 CHUNK = 400_000
+#: A chunk is of ``CHUNK`` tokens for every ``VISITS`` shards, and of no more than ``GROWN`` times as many.
+VISITS, GROWN = 64, 5
 #: Bytes that are hashed at a time; a longer text is hashed whole.
 PART = 1 << 19
 #: Files that a task keeps open at a time.
@@ -140,9 +143,14 @@ def digests(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(found[0] ^ _mix(found[1] + (ends - starts).astype(np.uint64))).view("<i8"), starts
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about CHUNK tokens: first and last text, digests of words with an end after each text, and where texts start."""
-    a, most = 0, 6 * CHUNK
+def grown(shards: int) -> int:
+    """Tokens of a chunk whose pairs go to so many shards."""
+    return CHUNK * min(GROWN, max(1, shards // VISITS))
+
+
+def chunks(texts: list[bytes], tokens: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``tokens`` tokens (CHUNK): first and last text, digests of words with an end after each text, and where texts start."""
+    a, most = 0, 6 * (tokens or CHUNK)
     while a < len(texts):
         b, size = a + 1, len(texts[a])
         while b < len(texts) and size + len(texts[b]) <= most:
@@ -189,6 +197,9 @@ class Vocabulary:
 
     def find(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (``size`` where unknown) and counts."""
+        if len(digests) > 2 * CHUNK:
+            parts = [self.find(digests[a : a + CHUNK]) for a in range(0, len(digests), CHUNK)]
+            return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
         distinct, back = np.unique(digests, return_inverse=True)
         ids, counts = np.full(len(distinct), self.size, np.int64), np.zeros(len(distinct), np.int64)
         piece = (distinct >> (64 - self.bits)) + (1 << self.bits >> 1) if self.bits else np.zeros(len(distinct), np.int64)
@@ -263,7 +274,7 @@ def count_ngrams(docs: DataFrame, folder: str, pieces: list[tuple[int, int]], bo
         vocabulary = Vocabulary(folder, pieces)
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for _, _, flat, offsets in chunks(batch.column(0).to_pylist()):
+            for _, _, flat, offsets in chunks(batch.column(0).to_pylist(), grown(len(bounds))):
                 ids = vocabulary.find(flat)[0]
                 last = np.zeros(len(ids) + 1, bool)
                 last[offsets[1:] - 1] = True
@@ -288,7 +299,8 @@ def count_ngrams(docs: DataFrame, folder: str, pieces: list[tuple[int, int]], bo
 
 
 def write_shards(blocks: DataFrame, folder: str, pieces: list[tuple[int, int]]) -> DataFrame:
-    """One trie file per shard; returns ``shard`` and its numbers of nodes."""
+    """One trie file per shard; returns ``shard`` and ``followers``, the distinct words after its first word."""
+
     def build(table: pa.Table) -> pa.Table:
         vocabulary, plain = Vocabulary(folder, pieces), zstandard.ZstdDecompressor()
         shard, keys, thirds, counts = table["shard"][0].as_py(), [], [], []
@@ -302,9 +314,10 @@ def write_shards(blocks: DataFrame, folder: str, pieces: list[tuple[int, int]])
         order = np.lexsort((third, key))
         key, third, n = key[order], third[order], n[order]
         save(f"{folder}/trie-{shard}", trie(key, third, n, vocabulary))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "ngrams": [len(key)]})
+        own = key[: np.searchsorted(key, (key[0] >> 32) + 1 << 32)]
+        return pa.table({"shard": pa.array([shard], pa.int32()), "followers": [len(starts_of(own))]})
 
-    return blocks.groupBy("shard").applyInArrow(build, "shard int, ngrams long")
+    return blocks.groupBy("shard").applyInArrow(build, "shard int, followers long")
 
 
 def starts_of(x: np.ndarray) -> np.ndarray:
@@ -349,7 +362,7 @@ def counts_of(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
 class Shard:
     def __init__(self, uri: str) -> None:
         a = load(uri)
-        self.roots, self.pairs, self.pair_at, self.triples, self.triple_at = (EliasFano.of({n: a[f"{k}.{n}"] for n in ("meta", "low", "high", "ones")}) for k in ("roots", "pairs", "pair_at", "triples", "triple_at"))
+        self.roots, self.pairs, self.pair_at, self.triples, self.triple_at = (EliasFano.of({n: a[f"{k}.{n}"] for n in ("meta", "low", "high", "ones", "zeros")}) for k in ("roots", "pairs", "pair_at", "triples", "triple_at"))
         self.alpha2, self.alpha3, self.bow2 = a["alpha2"], a["alpha3"], a["bow2"]
 
     def children(self, root: np.ndarray) -> np.ndarray:
@@ -357,9 +370,10 @@ class Shard:
 
 
 class Model:
-    """The whole trie: its vocabulary and shards, opened when first used."""
+    """The whole trie: its vocabulary and shards, opened when first used. ``present`` has the shards that there are, each with
+    the number of distinct words after its first word."""
 
-    def __init__(self, folder: str, pieces: list[tuple[int, int]], bounds: np.ndarray, present: frozenset[int]) -> None:
+    def __init__(self, folder: str, pieces: list[tuple[int, int]], bounds: np.ndarray, present: dict[int, int]) -> None:
         self.folder, self.bounds, self.present = folder, bounds, present
         self.vocabulary = Vocabulary(folder, pieces)
         self.open = Opened(Shard)
@@ -368,16 +382,12 @@ class Model:
         return self.open[f"{self.folder}/trie-{s}"] if s in self.present else None
 
     @cached_property
-    def split_roots(self) -> dict[int, int]:
-        """Distinct followers of the words that several shards hold."""
-        out = {}
-        for a in np.unique(self.bounds[self.bounds & 0xFFFFFFFF > 0] >> 32).tolist():
-            low, high = (int(np.searchsorted(self.bounds, k, "right")) - 1 for k in (a << 32, a << 32 | 0xFFFFFFFF))
-            out[a] = 0
-            for s in range(low, high + 1):
-                if (shard := self.shard(s)) and (at := shard.roots.find(np.array([a])))[0] >= 0:
-                    out[a] += int(shard.children(at)[0])
-        return out
+    def split_roots(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words that several shards hold, each of which has no other, and their distinct followers."""
+        split = np.unique(self.bounds[self.bounds & 0xFFFFFFFF > 0] >> 32)
+        held = np.array([self.present.get(s, 0) for s in range(len(self.bounds))], np.int64)
+        before = np.concatenate(([0], np.cumsum(held)))
+        return split, before[np.searchsorted(self.bounds, (split + 1) << 32)] - before[np.searchsorted(self.bounds, split << 32)]
 
     def logs(self, ids: np.ndarray, counts: np.ndarray, last: np.ndarray) -> np.ndarray:
         """log10 probability of each token; ``last`` marks the ends of texts."""
@@ -389,7 +399,9 @@ class Model:
         order = np.argsort(key, kind="stable")
         at, key = at[order], key[order]
         cuts = np.append(np.searchsorted(key, self.bounds), len(key))
-        third = [(np.zeros(0, np.int64),) * 3]
+        split, followed = self.split_roots
+        # Codes of trigrams and back-off weights by place: nothing, and all to the pair.
+        a3, b2 = np.full(len(ids), 65535, "<u2"), np.zeros(len(ids), "<u2")
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             shard = self.shard(s)
             here, k = at[cuts[s] : cuts[s + 1]], key[cuts[s] : cuts[s + 1]]
@@ -400,8 +412,9 @@ class Model:
             followers = np.zeros(len(first))
             if shard:
                 followers[root >= 0] = shard.children(root[root >= 0])
-            for j in np.flatnonzero(np.isin(word[first], list(self.split_roots))) if self.split_roots else ():
-                followers[j] = self.split_roots[int(word[first[j]])]
+            if len(split):
+                place = np.minimum(np.searchsorted(split, word[first]), len(split) - 1)
+                followers = np.where(split[place] == word[first], followed[place], followers)
             n = np.repeat(np.maximum(1, counts[here[first]]), times)
             bow = np.repeat(followers, times) * D / n
             none = bow == 0  # a context that nothing follows in training
@@ -417,34 +430,30 @@ class Model:
             if len(go):
                 context = node[go]
                 kid = shard.triples.find(context * width + ids[here[go] + 2])
-                a3 = np.zeros(len(go))
-                a3[kid >= 0] = _VALUES[shard.alpha3[kid[kid >= 0]]]
-                third.append((here[go] + 2, a3, _VALUES[shard.bow2[context]]))
-        where, a3, b2 = (np.concatenate(x) for x in zip(*third))
-        where = where.astype(np.int64)
-        p[where] = a3 + b2 * p[where]
-        return np.log10(p)
+                a3[here[go[kid >= 0]] + 2] = shard.alpha3[kid[kid >= 0]]
+                b2[here[go] + 2] = shard.bow2[context]
+        return np.log10(_VALUES[a3] + _VALUES[b2] * p)
 
 
-def train(docs: DataFrame, folder: str) -> tuple[list[tuple[int, int]], np.ndarray, frozenset[int]]:
+def train(docs: DataFrame, folder: str) -> tuple[list[tuple[int, int]], np.ndarray, dict[int, int]]:
     """Counts and writes the model of ``docs`` (column ``text``); returns what ``Model`` needs."""
     pieces = count_words(docs, folder)
     bounds = shard_bounds(docs.sparkSession.read.parquet(f"{folder}/words"), folder, pieces)
     shards = write_shards(count_ngrams(docs, folder, pieces, bounds), folder, pieces)
-    return pieces, bounds, frozenset(r["shard"] for r in shards.select("shard").collect())
+    return pieces, bounds, {r["shard"]: r["followers"] for r in shards.collect()}
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, folder: str, pieces: list[tuple[int, int]], bounds: np.ndarray, present: frozenset[int]) -> DataFrame:
+def score(docs: DataFrame, folder: str, pieces: list[tuple[int, int]], bounds: np.ndarray, present: dict[int, int]) -> DataFrame:
     """Scores of ``doc_id``, ``text`` by a trained model."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(folder, pieces, bounds, present)
         v = model.vocabulary
         for batch in batches:
-            for a, b, flat, offsets in chunks(batch.column(2).to_pylist()):
+            for a, b, flat, offsets in chunks(batch.column(2).to_pylist(), grown(len(bounds))):
                 ids, counts = v.find(flat)
                 last = np.zeros(len(ids), bool)
                 last[offsets[1:] - 1] = True

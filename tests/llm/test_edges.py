@@ -149,6 +149,28 @@ def test_scores_with_everything_split(spark, odd, odd_rows, folder, monkeypatch)
     assert [x[3:] for x in got] == [pytest.approx(x[3:], abs=1e-4) for x in want]
 
 
+def test_chunks_grow_with_the_shards(spark, odd, odd_rows, folder, monkeypatch):
+    """More shards, fewer visits: larger chunks give the same tokens, and words cut over shards are known without opening one."""
+    texts = [f"w{k} w{k % 7} w{k % 31}".encode() * 400 for k in range(6000)]
+    few, many = (list(lm_score.chunks(texts, lm_score.grown(n))) for n in (2000, 1))
+    assert 3 * len(few) < len(many) and sum(b - a for a, b, _, _ in few) == len(texts)
+    assert np.array_equal(np.concatenate([x for _, _, x, _ in few]), np.concatenate([x for _, _, x, _ in many]))
+    for name, value in (("SHARD", 300), ("PIECE", 20)):
+        monkeypatch.setattr(lm_score, name, value)
+    pieces, bounds, present = lm_score.train(odd, folder)
+    model = lm_score.Model(folder, pieces, bounds, present)
+    split, followed = model.split_roots
+    assert not model.open.held and len(split)
+    after = {}
+    for _, t, _ in odd_rows:
+        w = [*words(low(t)), None]
+        for x, y in zip(w, w[1:]):
+            after.setdefault(x, set()).add(y)
+    number = lambda w: int(model.vocabulary.find(lm_score.digests(np.frombuffer(f"{w} ".encode(), "u1"))[0])[0][0])
+    by_number = {number(w): len(y) for w, y in after.items()}
+    assert [by_number[k] for k in split.tolist()] == followed.tolist()
+
+
 def test_repeats_of_odd_rows(odd, odd_rows, folder):
     data = [(i, (t or "").encode()) for i, t, _ in odd_rows]
     seen = Counter(b[k : k + 200] for _, b in data for k in range(len(b) - 199))
