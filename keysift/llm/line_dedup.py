@@ -7,8 +7,8 @@
    bands with probability above 0.996.
 2. Equal lines are one class (by MD5); its first line stands for it. Digests and bands are shuffled, never the text.
 3. In each bucket every line is compared with the bucket's first. Where that leaves a bucket in several components,
-   every line outside its largest component is compared with all lines of other components there. Two lines left
-   uncompared are thus in one component already: no link that matters is lost.
+   every line outside its largest component is compared with all lines of other components there, one pair for each
+   component before the others. Two lines left uncompared are thus in one component already: no link that matters is lost.
 4. Before texts are fetched, each pair passes an exact bound: a line of n distinct shingles has a parity bitmap of
    64 * ``WORDS`` bits, and the bits in which two bitmaps differ are at most the shingles that they don't share.
    Jaccard J asks for at most (1 - J) / (1 + J) of the sum of both n. The bound drops no pair that is similar.
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.common import components, shared_dir, written
+from keysift.llm.common import components, let, shared_dir, written
 
 SHINGLE = 10
 BANDS, ROWS = 8, 3
@@ -60,8 +60,9 @@ def _hashed(cut: Column) -> Column:
 
 
 def _shingles(line: str) -> Column:
-    """All shingles of a line, in order, repeats included."""
-    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1)))
+    """The digests of all shingles of a line, in order, repeats included: cut from four bytes for each character."""
+    cut = lambda wide: F.transform(F.sequence(F.lit(1), F.octet_length(wide) - (4 * SHINGLE - 1), F.lit(4)), lambda at: F.xxhash64(F.substring(wide, at, F.lit(4 * SHINGLE))))
+    return let(F.encode(line, "UTF-32"), lambda wide: F.when(F.octet_length(wide) <= 4 * SHINGLE, F.array(F.xxhash64(wide))).otherwise(cut(wide)))
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
     """``lid``, ``n`` (distinct shingles) and ``bits`` (their parity bitmap) of each line."""
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
     word = F.expr(f"(h >> 6) & {WORDS - 1}")
-    rows = texts.select("lid", _shingles("line").alias("h")).select("lid", _hashed(F.col("h")).alias("h")).select("lid", F.explode(F.array_distinct("h")).alias("h"))
+    rows = texts.select("lid", _shingles("line").alias("h")).select("lid", F.explode(F.array_distinct("h")).alias("h"))
     made = rows.groupBy("lid").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
     return made.select("lid", "n", F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
 
@@ -99,13 +100,12 @@ def _may_be_similar(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, folder: str, name: str) -> DataFrame:
-    """Of the pairs (a, b) of line ids, those at exact Jaccard similarity of ``SIMILAR`` or more."""
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    both = both.select("a", "b", _shingles("x").alias("s"), _shingles("y").alias("t"))
+    """Of the pairs (a, b) of line ids, with the sum ``n`` of their distinct shingles, those at exact Jaccard similarity of ``SIMILAR`` or more."""
+    both = pairs.select("a", "b", "n").join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     # Explode is a generator: what it reads is evaluated once, and no filter moves below it.
-    both = both.select("a", "b", F.explode(F.array(F.struct(_hashed(F.col("s")).alias("s"), _hashed(F.col("t")).alias("t")))).alias("p"))
+    both = both.select("a", "b", "n", F.explode(F.array(F.struct(_shingles("x").alias("s"), _shingles("y").alias("t")))).alias("p"))
     percent = round(100 * SIMILAR)
-    similar = f"{100 + percent} * size(array_intersect(p.s, p.t)) >= {percent} * (size(array_distinct(p.s)) + size(array_distinct(p.t)))"
+    similar = f"{100 + percent} * size(array_intersect(p.s, p.t)) >= {percent} * n"
     return written(both.where(similar).select("a", "b"), folder, f"links-{name}")
 
 
@@ -140,7 +140,7 @@ def similar_lines(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
     pairs = followers.select(F.col("first").alias("a"), F.col("lid").alias("b")).distinct()
     named = pairs.join(sketches.select(F.col("lid").alias("a"), F.struct("n", "bits").alias("p")), "a").join(sketches.select(F.col("lid").alias("b"), F.struct("n", "bits").alias("q")), "b")
-    first = _verified(written(named.where(_may_be_similar("p", "q")).select("a", "b"), folder, "pairs-first"), texts, folder, "first")
+    first = _verified(written(named.where(_may_be_similar("p", "q")).select("a", "b", F.expr("p.n + q.n").alias("n")), folder, "pairs-first"), texts, folder, "first")
 
     stars = written(components(first, folder, "cc-first"), folder, "stars-first")
 
@@ -151,9 +151,22 @@ def similar_lines(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     left = written(named.join(largest, "key").join(sketches, "lid"), folder, "open")
     minor, others = left.where("component != top").alias("p"), left.alias("q")
     again = minor.join(others, F.expr("p.key = q.key and p.component != q.component and (q.component = q.top or p.lid < q.lid)") & _may_be_similar("p", "q"))
-    again = again.select(F.least("p.lid", "q.lid").alias("a"), F.greatest("p.lid", "q.lid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = _verified(written(again, folder, "pairs-second"), texts, folder, "second")
-    stars = components(first.unionByName(second), folder, "cc")
+    low, high = (F.expr(f"{f}(struct(p.lid, p.component), struct(q.lid, q.component))") for f in ("least", "greatest"))
+    again = again.select(low.alias("x"), high.alias("y"), F.expr("p.n + q.n").alias("n")).distinct()
+    again = again.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), "n", F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).join(pairs, ["a", "b"], "left_anti")
+    again = written(again, folder, "pairs-again")
+    # Each component first tries one pair, with the least other component; what that joins needs no further pair.
+    ways = again.select("ca", "cb", "a", "b", "n").unionByName(again.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "a", "b", "n"))
+    tried = written(ways.groupBy("ca").agg(F.min(F.struct("cb", "a", "b", "n")).alias("w")).select("w.a", "w.b", "w.n").distinct(), folder, "pairs-second")
+    second = _verified(tried, texts, folder, "second")
+    found = again.join(second, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = written(components(found, folder, "cc-second"), folder, "stars-second")
+    rest = again.join(tried, ["a", "b"], "left_anti")
+    for c in ("ca", "cb"):
+        rest = rest.join(joined.select(F.col("id").alias(c), F.col("component").alias(f"{c}_now")), c, "left")
+    rest = rest.where("coalesce(ca_now, ca) != coalesce(cb_now, cb)").select("a", "b", "n")
+    third = _verified(written(rest, folder, "pairs-third"), texts, folder, "third")
+    stars = components(first.unionByName(second).unionByName(third), folder, "cc")
 
     merged = written(stars.withColumnRenamed("id", "lid").join(ids.select("class", "lid", "head"), "lid"), folder, "merged")
     keep = merged.groupBy("component").agg(F.min("head").alias("keep"))

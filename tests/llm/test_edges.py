@@ -137,6 +137,20 @@ def test_bitmaps_never_drop_a_similar_pair(spark):
     assert {k for k, (x, y) in enumerate(pairs) if 5 * len(cut(x) & cut(y)) >= 4 * len(cut(x) | cut(y))} <= may and len(may) < len(pairs)
 
 
+def test_shingles_are_digests_of_characters(spark):
+    """Cut from four bytes a character: equal exactly where the characters are, in any script."""
+    lines = ["", "short", "exactly10c", "elevenchars", "\u00e4\u00f6\u00fc\u20ac\U0001f600" * 9, "\U0001f600" * 11, "tab\tand\x0bmore white\r", "long line " * 300 + "end"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "lid long, line string").select("lid", line_dedup._shingles("line").alias("s")).collect()
+    owner = {}
+    for r in rows:
+        x = lines[r["lid"]]
+        want = [x[k : k + 10] for k in range(max(1, len(x) - 9))]
+        assert len(r["s"]) == len(want)
+        for shingle, digest in zip(want, r["s"]):
+            assert owner.setdefault(shingle, digest) == digest
+    assert len(set(owner.values())) == len(owner)
+
+
 def test_scores_with_everything_split(spark, odd, odd_rows, folder, monkeypatch):
     """Vocabulary and trie in many pieces, hot words cut over shards, few files open: the same scores as in one piece."""
     want = rows_of(lm_score.score(odd, f"{folder}/a", *lm_score.train(odd, f"{folder}/a")), "doc_id", "n_tokens", "n_known", F.round("score", 6), F.round("base_score", 6))
