@@ -46,13 +46,16 @@ def _has_word(line: Column) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``row`` (a digest of the text), ``line_no`` (from 0) and ``line`` of every line with a word."""
-    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(_has_word(F.col("line")))
+    # The digest is made below the generator, once a text: beside it, each line would carry the text and hash it again.
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return texts.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(_has_word(F.col("line")))
 
 
 #: The fixed points of the hash ring, ascending.
 POINTS = [-(1 << 63) + 0x5851F42D4C957F + b * ((1 << 64) // BANDS) for b in range(BANDS)]
-EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))."
-STARTS = rf"(?s)(?=(.{{{SHINGLE}}}))(?:\S++\s*+|\s++)"
+#: A dot for each character, and runs that aren't possessive: both are the faster form in Java. Nothing follows a run, so none is ever given back.
+EVERY = rf"(?s)(?=({'.' * SHINGLE}))."
+STARTS = rf"(?s)(?=({'.' * SHINGLE}))\S*\s*"
 
 
 def _hashed(cut: Column) -> Column:
@@ -71,14 +74,17 @@ def signed(rows: DataFrame) -> DataFrame:
     cut = lambda how: _hashed(F.regexp_extract_all("line", F.lit(how), F.lit(1)))
     distinct = lambda x: F.sort_array(F.array_distinct(x))
     made = rows.select(*rest, "line", cut(STARTS).alias("s"))
-    sparse = F.size("s") * SPARSE < F.length("line") - SHINGLE
+    # Bytes first: where even they aren't too many for the words, the characters need no count.
+    sparse = (F.size("s") * SPARSE < F.octet_length("line") - SHINGLE) & (F.size("s") * SPARSE < F.length("line") - SHINGLE)
     made = made.select(*rest, distinct(F.when(F.size("s") == 0, F.array(F.xxhash64("line"))).otherwise(F.col("s"))).alias("s"), F.when(sparse, cut(EVERY)).alias("e"))
     made = made.select(*rest, "s", F.when(F.size("e") > 0, distinct("e")).alias("e"))
     points = F.array(*map(F.lit, POINTS))
     again = lambda c: F.when(F.size(c) >= ROWS, F.slice(c, 1, ROWS)).otherwise(F.slice(F.concat(*[c] * ROWS), 1, ROWS))
     made = made.select(*rest, *[x for c in ("s", "e") for x in (F.concat(c, again(c)).alias(f"{c}_ring"), F.sort_array(F.concat(c, points)).alias(f"{c}_marked"))])
     # The place of a point among the hashes, less the points before it, is where its band starts on the ring.
-    s = F.array(*[F.xxhash64(F.lit(b), F.slice("s_ring", F.array_position("s_marked", F.lit(p)).cast("int") - b, F.lit(ROWS))) for b, p in enumerate(POINTS)])
+    # The digest of a band's hashes one by one is that of their array, which isn't made.
+    made = made.select(*rest, "e_ring", "e_marked", "s_ring", *[(F.array_position("s_marked", F.lit(p)).cast("int") - 1 - b).alias(f"at_{b}") for b, p in enumerate(POINTS)])
+    s = F.array(*[F.xxhash64(F.lit(b), *[F.get("s_ring", F.col(f"at_{b}") + k) for k in range(ROWS)]) for b in range(BANDS)])
     made = made.select(*rest, "e_ring", "e_marked", s.alias("keys"))
     e = F.transform(points, lambda p, b: F.xxhash64(b + BANDS, F.slice("e_ring", F.array_position("e_marked", p).cast("int") - b, F.lit(ROWS))))
     return made.select(*rest, F.when(F.col("e_ring").isNull(), F.col("keys")).otherwise(F.concat("keys", e)).alias("keys"))
@@ -130,8 +136,8 @@ def similar_lines(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     classes = every.groupBy("class").agg(F.min(F.struct(*AT)).alias("head"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     ids = written(classes.withColumn("lid", F.monotonically_increasing_id()), folder, "classes")
 
-    by_bucket = "partition by key order by lid rows between unbounded preceding and current row"
-    rows = ids.select("lid", F.explode("keys").alias("key")).withColumn("first", F.expr(f"min(lid) over ({by_bucket})"))
+    # No order within a bucket: rows are sorted by one long then, which Spark does by radix.
+    rows = ids.select("lid", F.explode("keys").alias("key")).withColumn("first", F.expr("min(lid) over (partition by key)"))
     followers = written(rows.where("lid != first"), folder, "followers")
     wanted = followers.select(F.explode(F.array("first", "lid")).alias("lid")).distinct()
     wanted = written(ids.join(wanted, "lid").select("lid", "head.*"), folder, "wanted")
@@ -174,16 +180,20 @@ def similar_lines(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     return every.select(*AT, "class"), written(merged.join(keep, "component").select("class", "keep").unionByName(alone), folder, "fate")
 
 
+def _lost(docs: DataFrame, folder: str) -> DataFrame:
+    """The lines to remove, with ``keep``, the place of the line that stays; a line of rows equal in both comes once for each of them."""
+    every, fate = similar_lines(docs.select("doc_id", "text"), folder)
+    return every.join(F.broadcast(fate) if _small(fate) else fate, "class").where(~F.struct(*AT).eqNullSafe(F.col("keep")))
+
+
 def duplicate_lines(docs: DataFrame, folder: str) -> DataFrame:
     """``doc_id``, ``line_no``, ``row`` of every line to remove, with ``keep_doc``, ``keep_line``: the line that stays for it."""
-    every, fate = similar_lines(docs.select("doc_id", "text"), folder)
-    lost = every.join(F.broadcast(fate) if _small(fate) else fate, "class").where(~F.struct(*AT).eqNullSafe(F.col("keep")))
-    return lost.select(*AT, F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")).distinct()
+    return _lost(docs, folder).select(*AT, F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")).distinct()
 
 
 def removals(docs: DataFrame, folder: str) -> DataFrame:
     """``doc_id``, ``row`` and the sorted ``removed`` line numbers of documents that lose lines."""
-    return duplicate_lines(docs, folder).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    return _lost(docs, folder).groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def _with_removals(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -211,10 +221,9 @@ def drop_lines(docs: DataFrame, folder: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines with a word, and the numbers of the lines that go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    every, fate = similar_lines(docs, shared_dir(spark))
-    judged = every.join(F.broadcast(fate) if _small(fate) else fate, "class", "left")
-    lost = F.col("keep").isNotNull() & ~F.struct(*AT).eqNullSafe(F.col("keep"))
-    per_doc = judged.groupBy("doc_id", "row").agg(F.size(F.collect_set("line_no")).alias("n_lines"), F.sort_array(F.collect_set(F.when(lost, F.col("line_no")))).alias("removed"))
-    both = docs.select("doc_id", F.xxhash64("text").alias("row")).alias("l").join(per_doc.alias("g"), F.expr("l.doc_id <=> g.doc_id and l.row = g.row"), "left")
+    # Only lines that go are grouped; the others are counted where the texts are read again.
+    folder = shared_dir(spark)
+    gone = written(removals(docs, folder), folder, "removals")
+    with_word = F.size(F.filter(F.split("d.text", "\n", -1), _has_word))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return both.select("l.doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed"))
+    return _with_removals(docs, gone).select("d.doc_id", F.when(F.col("d.text").isNull(), 0).otherwise(with_word).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed"))

@@ -151,6 +151,22 @@ def test_shingles_are_digests_of_characters(spark):
     assert len(set(owner.values())) == len(owner)
 
 
+def test_texts_are_hashed_before_they_are_cut(spark):
+    """Each text is hashed once, below the generator, not once for each of its lines; shingles start where words do."""
+    texts = ["a line\nof text\n\n \t \nend", "one", None, "", "\n"]
+    made = line_dedup.lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    above, _, below = made._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
+    assert "xxhash64" in below and "xxhash64" not in above
+    assert rows_of(made, "doc_id", "line_no", "line") == [(0, 0, "a line"), (0, 1, "of text"), (0, 4, "end"), (1, 0, "one")]
+    space = " \t\n\x0b\x0c\r"
+    lines = ["", "short", "exactly10c", "two  blanks and\ttabs\x0b\r in a line", "  blanks before it", "\u00e4\u00a0\U0001f600 \u2003x " * 9, "x" * 5000 + " " * 5000 + "y" * 20]
+    cut = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k long, line string").select("k", F.regexp_extract_all("line", F.lit(line_dedup.STARTS), F.lit(1)).alias("s"))
+    for r in cut.collect():
+        x = lines[r["k"]]
+        first = [k for k in range(len(x)) if k == 0 or x[k - 1] in space and x[k] not in space]
+        assert r["s"] == [x[k : k + 10] for k in first if k + 10 <= len(x)]
+
+
 def test_scores_with_everything_split(spark, odd, odd_rows, folder, monkeypatch):
     """Vocabulary and trie in many pieces, hot words cut over shards, few files open: the same scores as in one piece."""
     want = rows_of(lm_score.score(odd, f"{folder}/a", *lm_score.train(odd, f"{folder}/a")), "doc_id", "n_tokens", "n_known", F.round("score", 6), F.round("base_score", 6))
