@@ -35,7 +35,7 @@ def thought(spark):
 
 def dealt(df):
     """The tasks over which rows are dealt out, the most of a plan."""
-    return max([0, *map(int, re.findall(r"Repartition (\d+), true", df._jdf.queryExecution().optimizedPlan().toString()))])
+    return max([0, *map(int, re.findall(r"Repartition (\d+), true", df._jdf.queryExecution().analyzed().toString()))])
 
 
 def test_rows_of_a_large_table_are_dealt_out_whole(spark):
@@ -58,3 +58,16 @@ def same_rows_in_more_tasks(spark, folder, thought, query):
 
 def test_validators(spark, folder, thought):
     same_rows_in_more_tasks(spark, folder, thought, queries.validators)
+
+
+def test_confident_findings(spark, folder, thought):
+    same_rows_in_more_tasks(spark, folder, thought, queries.confident_findings)
+
+
+def test_a_stream_of_large_texts_is_dealt_out(spark, folder, thought, monkeypatch):
+    seen, real = [], queries.scan_stream
+    monkeypatch.setattr(queries, "scan_stream", lambda texts, *rest: (seen.append(dealt(texts)), real(texts, *rest))[1])
+    want = sorted(map(str, queries.scan_documents(spark, folder).collect()))
+    thought(folder, 1 << 30)
+    assert sorted(map(str, queries.stream_findings(spark, folder).collect())) == want and len(want) > 60
+    assert seen[0] > 48
