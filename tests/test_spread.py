@@ -71,3 +71,7 @@ def test_a_stream_of_large_texts_is_dealt_out(spark, folder, thought, monkeypatc
     thought(folder, 1 << 30)
     assert sorted(map(str, queries.stream_findings(spark, folder).collect())) == want and len(want) > 60
     assert seen[0] > 48
+
+
+def test_rule_matches(spark, folder, thought):
+    same_rows_in_more_tasks(spark, folder, thought, queries.rule_matches)
